@@ -7,15 +7,18 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from mizan.llm import fingerprint, mixing, quality, sharding
+from mizan.llm import bpe, fingerprint, jaccard, mixing, quality, sharding, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_toxicity": toxicity.op1_toxicity,
         "op2_quality": quality.op2_quality,
         "op3_sharding": sharding.op3_sharding,
         "op4_fingerprint": fingerprint.op4_fingerprint,
+        "op6_jaccard": jaccard.op6_jaccard,
         "op8_mixing": mixing.op8_mixing,
+        "op9_bpe": bpe.op9_bpe,
     }
 
 
