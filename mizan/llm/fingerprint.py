@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from mizan.llm.common import documents, text_or_empty, written
 
-#: Stands for a missing doc_id in joins.
+#: Stands for a missing doc_id in joins; not a doc_id itself.
 _NO_ID = -(2**63)
 
 
@@ -75,7 +75,7 @@ def compare_edited(docs: DataFrame) -> DataFrame:
     Texts move once, by doc_id; the digests, lengths and order are found on
     narrow rows before. A likeness is 1.0 for equal fingerprints, else 0.0.
     """
-    base = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_NO_ID)).alias("k"), F.col("doc_id").isNull().alias("no_id"), text_or_empty().alias("t")).withColumn("h", F.xxhash64("t"))
+    base = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_NO_ID)).alias("k"), text_or_empty().alias("t")).withColumn("h", F.xxhash64("t"))
     near = written(_neighbours(base), "order")
     texts = base.withColumn("o", F.row_number().over(Window.partitionBy("k").orderBy("h"))).drop("h")
     # The second key is a residual condition, so that all joins keep the
@@ -92,9 +92,9 @@ def compare_edited(docs: DataFrame) -> DataFrame:
     own = near.select(F.col("k").alias("wk"), F.col("o").alias("wo"), "n", "fp", "dup")
     whole = texts.join(own, (F.col("k") == F.col("wk")) & same("o", "wo")).join(patches, (F.col("k") == F.col("ok")) & same("o", "oo"))
     edited = F.concat(F.expr("left(t, cast(n - m as int))"), F.col("patch"))
-    rows = whole.select("k", "no_id", "n", "fp", "next_fp", "dup", F.when(F.col("dup"), F.col("t")).alias("t"), edited.alias("e"), (F.col("t") == edited).alias("unchanged"))
+    rows = whole.select("k", "n", "fp", "next_fp", "dup", F.when(F.col("dup"), F.col("t")).alias("t"), edited.alias("e"), (F.col("t") == edited).alias("unchanged"))
     rows = rows.select(
-        F.when(~F.col("no_id"), F.col("k")).alias("doc_id"),
+        F.when(F.col("k") != _NO_ID, F.col("k")).alias("doc_id"),
         F.col("n").cast("long").alias("n_chars"),
         F.sha2("e", 256).alias("edited_sha256"),
         F.col("fp").alias("fingerprint"),
