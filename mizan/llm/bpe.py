@@ -352,6 +352,23 @@ def encode(docs: DataFrame, name: str) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text")).mapInArrow(run, "doc_id long, ids array<int>")
 
 
+def encode_rows(docs: DataFrame, name: str) -> DataFrame:
+    """doc_id, source, n_tokens and the ids of each row as little-endian
+    unsigned 32-bit integers, with the hash of what they decode to."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        c = coder(name)
+        for batch in batches:
+            for i in range(0, batch.num_rows, 512):
+                part = batch.slice(i, 512)
+                ids = [b"".join(c.encode(t)) for t in part.column(2).to_pylist()]
+                back = [hashlib.sha256(c.decode_bytes(x).decode("utf-8", "replace").encode()).hexdigest() for x in ids]
+                yield pa.record_batch([part.column(0), part.column(1), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(ids, pa.binary()), pa.array(back, pa.string())], ["doc_id", "source", "n_tokens", "ids", "decoded_sha256"])
+
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), text_or_empty().alias("text"))
+    return rows.mapInArrow(run, "doc_id long, source string, n_tokens long, ids binary, decoded_sha256 string")
+
+
 def decode(encoded: DataFrame, name: str) -> DataFrame:
     """doc_id and the text that the ids stand for; null ids give empty texts."""
 

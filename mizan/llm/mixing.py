@@ -25,7 +25,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from mizan.llm.common import documents, text_or_empty, word_count, written
+from mizan.llm.common import documents, maybe_broadcast, numbered_repeats, text_or_empty, word_count, written
 
 #: Weights of the sources in code-point order, repeating, and the most copies.
 WEIGHTS, MOST = (5, 2, 1), 3
@@ -161,5 +161,14 @@ def mix(docs: DataFrame) -> DataFrame:
     return out.select("doc_id", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).cast("long").alias("taken"))
 
 
+def take(docs: DataFrame) -> DataFrame:
+    """The documents, each as many times as the mix takes it."""
+    counts = mix(docs).groupBy("doc_id").agg(F.sort_array(F.collect_list("copies"), asc=False).alias("_copies"))
+    counts = maybe_broadcast(written(counts.withColumnRenamed("doc_id", "_id"), "copies"))
+    rows = numbered_repeats(docs, "doc_id", "_nth")
+    rows = rows.join(counts, rows["doc_id"].eqNullSafe(counts["_id"]))
+    return rows.withColumn("_copy", F.explode(F.sequence(F.lit(0), F.get("_copies", F.col("_nth") - 1)))).where("_copy > 0").select(*docs.columns)
+
+
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(documents(spark, sf_dir))

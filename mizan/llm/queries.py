@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from mizan.llm import bpe, fingerprint, jaccard, mixing, quality, sharding, toxicity
+from mizan.llm import bpe, fingerprint, html_text, jaccard, mixing, pseudolikelihood, quality, sharding, spans, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -16,9 +16,12 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_quality": quality.op2_quality,
         "op3_sharding": sharding.op3_sharding,
         "op4_fingerprint": fingerprint.op4_fingerprint,
+        "op5_pseudolikelihood": pseudolikelihood.op5_pseudolikelihood,
         "op6_jaccard": jaccard.op6_jaccard,
+        "op7_spans": spans.op7_spans,
         "op8_mixing": mixing.op8_mixing,
         "op9_bpe": bpe.op9_bpe,
+        "op10_html": html_text.op10_html,
     }
 
 

@@ -410,6 +410,24 @@ def score(docs: DataFrame, model: Model | None) -> DataFrame:
     return d.select("doc_id", F.coalesce(held_out(), F.lit(False)).alias("held_out"), "score", (F.col("score") >= TOXIC_AT).cast("int").alias("predicted"))
 
 
+def drop_toxic(docs: DataFrame, model: Model | None) -> DataFrame:
+    """The rows of ``docs`` that are not toxic, with all their columns."""
+    if model is None:
+        return docs
+    held = docs.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        scorer = Scorer(held.value)
+        for batch in batches:
+            at = batch.schema.names.index("text")
+            for i in range(0, batch.num_rows, 512):
+                part = batch.slice(i, 512)
+                texts = [t or "" for t in part.column(at).to_pylist()]
+                yield part.filter(pa.array(scorer.scores(texts) < TOXIC_AT))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     return score(docs, train(*sample(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))))
