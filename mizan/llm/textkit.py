@@ -9,7 +9,7 @@ import numpy as np
 import pyarrow as pa
 
 #: Bytes of text that are hashed at once; a longer text is taken alone.
-CHUNK = 1 << 21
+CHUNK = 1 << 19
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
@@ -84,7 +84,7 @@ def run_hashes(h: np.ndarray, k: int) -> np.ndarray:
     k = int(k)
     if len(h) < k:
         return np.zeros(0, np.uint64)
-    out = np.full(len(h) - k + 1, np.uint64(k) * _ODD, np.uint64)
+    out = np.full(len(h) - k + 1, np.uint64(k * int(_ODD) & 0xFFFFFFFFFFFFFFFF), np.uint64)
     for i in range(k):
         out = out * np.uint64(0xF1357AEA2E62A9C5) + h[i : len(h) - k + 1 + i]
     return mix(out)
