@@ -20,7 +20,16 @@ RANK_ROWS, RANK_BUCKETS = 1024, 65536
 _FALLBACK: list[str] = []
 
 
+#: Rows of an Arrow batch: long texts keep the Python workers' memory small.
+ARROW_ROWS = 1024
+
+
+def small_batches(spark: SparkSession) -> None:
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
@@ -93,7 +102,7 @@ def word_count(text: Column) -> Column:
 
 
 #: Rows of a narrow table that may be broadcast.
-BROADCAST_ROWS = 500_000
+BROADCAST_ROWS = 200_000
 
 
 def maybe_broadcast(table: DataFrame) -> DataFrame:

@@ -138,7 +138,17 @@ def repeated(docs: DataFrame) -> DataFrame:
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), size // 40 // TASK_RUNS + 1)
     packed = base.mapInArrow(_emit(parts), "p int, code binary, doc binary, mark binary, a binary, b binary, later binary")
     found = packed.repartition(parts, "p").mapInArrow(_repeats, "doc_id long, mark long, a int, b int")
-    return found.groupBy("doc_id", "mark").agg(F.collect_set(F.struct("a", "b")).alias("spans"))
+    kind = "array<struct<a:int,b:int>>"
+
+    def joined(done, x):
+        """Overlapping spans as one; ``x`` begins no earlier than those done."""
+        end = F.get(done, F.size(done) - 1)
+        over = (F.size(done) > 0) & (x["a"] <= end["b"])
+        grown = F.struct(end["a"].alias("a"), F.greatest(end["b"], x["b"]).alias("b"))
+        return F.when(over, F.concat(F.slice(done, 1, F.size(done) - 1), F.array(grown))).otherwise(F.concat(done, F.array(x)))
+
+    spans = found.groupBy("doc_id", "mark").agg(F.array_sort(F.collect_set(F.struct("a", "b"))).alias("spans"))
+    return spans.withColumn("spans", F.aggregate("spans", F.array().cast(kind), joined))
 
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -39,7 +39,7 @@ WINDOW, STRIDE = 64, 48
 SAMPLE, SAMPLE_CHARS, TOXIC_AT = 1200, 20_000, 0.3
 HIDDEN, WORD_DIM, CHAR_DIM, BUCKETS = 8, 8, 4, 4096
 EPOCHS, BATCH, RATE, DECAY, SEED = 10, 128, 0.01, 0.0005, 7
-_REMEMBERED, _TOGETHER = 200_000, 2048
+_REMEMBERED, _TOGETHER = 60_000, 2048
 _WORDS = re.compile(r"[^\W_]+")
 
 
@@ -54,7 +54,7 @@ class _Grams(dict):
         h = 2166136261
         for c in gram:
             h = (h ^ ord(c)) * 16777619 & 0xFFFFFFFF
-        if len(self) > 500_000:
+        if len(self) > 100_000:
             self.clear()
         self[gram] = out = (h ^ h >> 15) % BUCKETS
         return out
