@@ -1,15 +1,266 @@
-"""Registered queries of the morphology engine."""
+"""Registered queries of the morphology engine and their SQL for DuckDB.
+
+The tables hold no Arabic, so words come from transliterating the
+conversations, and lexicon words from a list that order keys index.
+"""
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from mizan.functions import text as T
+from mizan.functions.letters import ARABIC, CARRIERS, DIACRITICS, HAMZA, LATIN, LETTERS, NOT_SHADDA
+from mizan.operators import branches as B
+from mizan.operators import segment as S
+from mizan.operators.collapse import exploded
+
+LEXICAL = "كتاب والكتاب كتبوا يكتبوا بالمدرسة الله والله محمد إلى لأنهم معلمتان عندليب كتابهم ذهب الولد عمل قرء سيكتب من هو".split()
+LABELS = ["حرف|جر", "اسم|ضمير|مذكر|مفرد|الغائب", "اسم الجلالة", "جار ومجرور", "فعل|ماض|-|مذكر أو مؤنث|جمع|المتكلم", "حرف", "اسم|نكرة|ضمير|مؤنث"]
+PATTERNS = ["فَعَلَ", "مَفْعُول", "فَعْلَلِيل", "يَفْعُلُونَ"]
+
+
+def _lat(s: str) -> str:
+    return s.replace("'", "''")
+
+
+def corpus_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Different words of the transliterated conversations."""
+    text = spark.read.parquet(f"{sf_dir}/conversations.parquet").select(T.to_arabic(F.col("text")).alias("t"))
+    return text.select(F.explode(F.split("t", " ")).alias("word")).where("word <> ''").distinct()
+
+
+WORDS_SQL = f"w AS (SELECT DISTINCT word FROM (SELECT unnest(string_split(translate(text, '{_lat(LATIN)}', '{ARABIC}'), ' ')) AS word FROM conversations) WHERE word <> '')"
+
+
+def lexical_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Occurrences of lexicon words, chosen by order key."""
+    orders = spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_orderkey")
+    at = F.element_at(F.array(*[F.lit(w) for w in LEXICAL]), (F.pmod(F.col("o_orderkey"), F.lit(len(LEXICAL))) + 1).cast("int"))
+    return orders.select("o_orderkey", at.alias("word"))
+
+
+def lexicon(spark: SparkSession):
+    from mizan.cli import demo_lexicon
+
+    return demo_lexicon(spark)
+
+
+def clitics(spark: SparkSession) -> tuple[DataFrame, DataFrame]:
+    from mizan.sources import demo, lexicon
+
+    records = demo.tables()
+    return lexicon.clitics(spark, records, "proclitics"), lexicon.clitics(spark, records, "enclitics")
+
+
+def _per_word(**columns):
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return corpus_words(spark, sf_dir).select("word", *[f(F.col("word")).alias(n) for n, f in columns.items()])
+
+    return run
+
+
+def _sql(**columns: str) -> str:
+    return f"WITH {WORDS_SQL} SELECT word, " + ", ".join(f"{e} AS {n}" for n, e in columns.items()) + " FROM w"
+
+
+def normalize_sql(w: str) -> str:
+    out = f"CASE WHEN length({w}) >= 3 AND substr({w}, 2, 1) = 'ّ' THEN substr({w}, 1, 1) || substr({w}, 3) ELSE {w} END"
+    for wrong, right in T.REWRITES:
+        out = f"regexp_replace({out}, '{wrong[:-2]}$', '{right}')" if wrong.endswith("\\z") else f"replace({out}, '{wrong}', '{right}')"
+    return out
+
+
+def tokenize_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", T.to_arabic(F.col("text")).alias("t"))
+    s = c.select("conv_id", "turn", F.posexplode(T.tokenize(F.col("t"))).alias("sentence_ix", "s"))
+    return s.select("conv_id", "turn", "sentence_ix", F.posexplode("s").alias("token_ix", "token"))
+
+
+TOKENIZE_SQL = f"""WITH c AS (SELECT conv_id, turn, regexp_split_to_array(replace(translate(text, '{_lat(LATIN)}', '{ARABIC}'), 'ـ', ''), '[.!:،؟؛\n]') AS s FROM conversations),
+p AS (SELECT conv_id, turn, unnest(s) AS s, generate_subscripts(s, 1) AS n FROM c),
+a AS (SELECT conv_id, turn, n, regexp_extract_all(s, '[{LETTERS}][{LETTERS}{DIACRITICS}]*') AS t FROM p),
+k AS (SELECT conv_id, turn, t, (row_number() OVER (PARTITION BY conv_id, turn ORDER BY n) - 1)::INT AS sentence_ix FROM a WHERE len(t) > 0),
+e AS (SELECT conv_id, turn, sentence_ix, unnest(t) AS raw, (generate_subscripts(t, 1) - 1)::INT AS token_ix FROM k)
+SELECT conv_id, turn, sentence_ix, token_ix, {normalize_sql('raw')} AS token FROM e"""
+
+
+def _values(rows: list[tuple]) -> str:
+    cell = lambda x: "NULL" if x is None else str(x) if isinstance(x, int) else "'" + str(x).replace("'", "''") + "'"
+    return ", ".join("(" + ", ".join(map(cell, r)) + ")" for r in rows)
+
+
+def _clitic_values(rows: list[dict]) -> str:
+    seen: dict[str, int] = {}
+    out = []
+    for c in rows:
+        k = c["unvoweledform"]
+        out.append((k, seen.get(k, 0), c["classe"]))
+        seen[k] = seen.get(k, 0) + 1
+    return _values(out)
+
+
+def _dims_sql() -> str:
+    from mizan.sources import demo
+
+    return f"pc(surface, ord, classe) AS (VALUES {_clitic_values(demo.PROCLITICS)}), ec(surface, ord, classe) AS (VALUES {_clitic_values(demo.ENCLITICS)})"
+
+
+def clitic_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    (pro, enc), w = clitics(spark), S.prepare(corpus_words(spark, sf_dir))
+    p = S.proclitic_candidates(w, pro).select("word", F.lit("p").alias("side"), F.col("p_len").alias("n"), F.col("p_ord").alias("ord"), F.col("p_classe").alias("classe"))
+    e = S.enclitic_candidates(w, enc).select("word", F.lit("e").alias("side"), F.col("e_len").alias("n"), F.col("e_ord").alias("ord"), F.col("e_classe").alias("classe"))
+    return p.unionByName(e)
+
+
+def _clitic_sql() -> str:
+    return f"""WITH {WORDS_SQL}, {_dims_sql()}, u AS (SELECT word, translate(word, '{DIACRITICS}', '') AS unv FROM w),
+l AS (SELECT word, unv, unnest(range(0, least(5, length(unv) - 1)::INT + 1)) AS n FROM u WHERE length(unv) > 0)
+SELECT word, 'p' AS side, n::INT AS n, ord::INT AS ord, classe FROM l JOIN pc ON surface = left(unv, n)
+UNION ALL SELECT word, 'e', n::INT, ord::INT, classe FROM l JOIN ec ON surface = CASE WHEN n = 0 THEN '' ELSE right(unv, n) END"""
+
+
+def segment_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Different cuts of every word: proclitic, stem, enclitic."""
+    w = S.prepare(corpus_words(spark, sf_dir))
+    rows = S.segments(w.select("word", "unv"), *clitics(spark))
+    return rows.select("word", F.col("p_unvoweledform").alias("proclitic"), F.col("p_classe").alias("p_class"), "stem", F.col("e_unvoweledform").alias("enclitic"), F.col("e_classe").alias("e_class"))
+
+
+def _segment_sql() -> str:
+    end = lambda s: f"CASE WHEN e = '' THEN '' WHEN right({s}, 1) = 'ت' THEN left({s}, -1) || 'ة' WHEN right({s}, 1) = 'آ' THEN left({s}, -1) || 'أى' WHEN right({s}, 1) = 'ا' THEN left({s}, -1) || 'ى' WHEN right({s}, 1) = 'و' THEN {s} || 'ا' WHEN right({s}, 1) IN ('ئ', 'ؤ') THEN left({s}, -1) || 'ء' ELSE '' END"
+    return f"""WITH {WORDS_SQL}, {_dims_sql()}, u AS (SELECT word, translate(word, '{DIACRITICS}', '') AS unv FROM w),
+l AS (SELECT word, unv, unnest(range(0, least(5, length(unv) - 1)::INT + 1)) AS n FROM u WHERE length(unv) > 0),
+p AS (SELECT word, unv, n AS pn, ord AS po, surface AS p, classe AS pk FROM l JOIN pc ON surface = left(unv, n)),
+q AS (SELECT word, n AS en, ord AS eo, surface AS e, classe AS ek FROM l JOIN ec ON surface = CASE WHEN n = 0 THEN '' ELSE right(unv, n) END),
+x AS (SELECT *, row_number() OVER (PARTITION BY word ORDER BY pn, po, en, eo) AS r, length(unv) < pn + en AS over FROM p JOIN q USING (word)),
+y AS (SELECT *, min(CASE WHEN over THEN r END) OVER (PARTITION BY word) AS stop FROM x),
+c AS (SELECT word, p, pk, e, ek, substr(unv, pn + 1, length(unv) - pn - en) AS s FROM y WHERE stop IS NULL OR r < stop),
+d AS (SELECT *, (pk IN ('N4', 'C3') AND p LIKE '%ل' AND s LIKE 'ل%') AS dbl FROM c),
+b AS (SELECT *, CASE WHEN dbl THEN 'ا' || s ELSE s END AS base FROM d),
+f AS (SELECT *, CASE WHEN length(base) > 1 THEN {end('base')} ELSE '' END AS fin FROM b),
+g AS (SELECT word, p, pk, e, ek, unnest(list_distinct(list_filter([s, CASE WHEN pk IN ('N1', 'N2', 'N3', 'N5') AND p LIKE '%ل' AND NOT s LIKE 'ل%' THEN 'ل' || s END,
+ CASE WHEN e = 'ي' AND NOT s LIKE 'ي%' THEN s || 'ي' END, CASE WHEN dbl THEN {end('s')} END, base, CASE WHEN p IN ('أ', 'ب') THEN 'ا' || base END,
+ CASE WHEN fin <> '' THEN fin END, CASE WHEN fin <> '' THEN replace(fin, 'آ', 'ءا') END, replace(base, 'آ', 'ءا')], lambda z: z IS NOT NULL))) AS stem FROM f)
+SELECT word, p AS proclitic, pk AS p_class, stem, e AS enclitic, ek AS e_class FROM g
+WHERE NOT (ek LIKE 'V%' AND pk LIKE 'N%') AND NOT (pk LIKE 'V%' AND ek LIKE 'N%') AND NOT (pk IN ('N1', 'N2', 'N3', 'N5') AND e <> '')"""
+
+
+def exceptional_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lex = lexicon(spark)
+    w = lexical_words(spark, sf_dir).withColumn("unv", T.strip_diacritics(F.col("word")))
+    hit = w.join(F.broadcast(lex.exceptional.select(F.col("word").alias("unv"), "voweledform", "proclitic")), "unv", "left")
+    return hit.select("o_orderkey", "word", F.coalesce("voweledform", F.lit("-")).alias("voweled"), F.coalesce("proclitic", F.lit("-")).alias("proclitic"))
+
+
+def _lexical_sql() -> str:
+    return f"lw AS (SELECT o_orderkey, list_extract([{', '.join(repr(w) for w in LEXICAL)}], (o_orderkey % {len(LEXICAL)} + 1)::INT) AS word FROM orders)"
+
+
+def _exceptional_sql() -> str:
+    from mizan.sources import demo
+
+    rows = _values([(k, v["voweledform"], v["proclitic"]) for k, v in demo.EXCEPTIONAL])
+    return f"WITH {_lexical_sql()}, ex(unv, voweledform, proclitic) AS (VALUES {rows}) SELECT o_orderkey, word, coalesce(voweledform, '-') AS voweled, coalesce(proclitic, '-') AS proclitic FROM lw LEFT JOIN ex ON unv = translate(word, '{DIACRITICS}', '')"
+
+
+def parse_pos_label(spark: SparkSession, sf_dir: str) -> DataFrame:
+    o = spark.read.parquet(f"{sf_dir}/orders.parquet")
+    label = F.element_at(F.array(*[F.lit(x) for x in LABELS]), (F.pmod(F.col("o_orderkey"), F.lit(len(LABELS))) + 1).cast("int"))
+    df = o.select("o_orderkey", label.alias("label"))
+    return df.select("o_orderkey", *[F.coalesce(c, F.lit("-")).alias(n) for n, c in B.label_slots(F.col("label")).items()])
+
+
+def _label_sql() -> str:
+    one = lambda names: "list_extract(list_filter(s, lambda x: x IN (" + ", ".join(f"'{n}'" for n in names) + ")), 1)"
+    persons = "('الغائب', 'المتكلم', 'المخاطب')"
+    kinds = [("'ماض', 'مضارع', 'أمر'"), ("'مذكر', 'مؤنث', 'مذكر أو مؤنث'"), ("'مفرد', 'مثنى', 'جمع'"), persons[1:-1]]
+    firsts = [f"coalesce(list_position(s, list_extract(list_filter(s, lambda x: x IN ({k})), 1)), 0)" for k in kinds]
+    rest = f"list_extract(list_filter(list_transform(s, lambda x, i: CASE WHEN i IN ({', '.join(firsts)}) THEN NULL ELSE x END), lambda x: x IS NOT NULL), 1)"
+    labels = ", ".join(f"'{x}'" for x in LABELS)
+    return f"""WITH l AS (SELECT o_orderkey, list_extract([{labels}], (o_orderkey % {len(LABELS)} + 1)::INT) AS label FROM orders),
+s AS (SELECT *, list_filter(list_slice(string_split(label, '|'), 2, 99), lambda x: x NOT IN ('', '-')) AS s FROM l)
+SELECT o_orderkey, CASE label WHEN 'اسم الجلالة' THEN 'اسم' WHEN 'جار ومجرور' THEN 'حرف' ELSE string_split(label, '|')[1] END AS pos,
+coalesce(CASE label WHEN 'اسم الجلالة' THEN label WHEN 'جار ومجرور' THEN label ELSE {rest} END, '-') AS type,
+coalesce({one(['ماض', 'مضارع', 'أمر'])}, '-') AS tense, coalesce({one(['مذكر', 'مؤنث', 'مذكر أو مؤنث'])}, '-') AS gender, coalesce({one(['مفرد', 'مثنى', 'جمع'])}, '-') AS number,
+coalesce(replace({one(['الغائب', 'المتكلم', 'المخاطب'])}, 'ال', ''), '-') AS person FROM s"""
+
+
+def fill_root_pattern(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first three or four letters of each word as a root in patterns."""
+    w = corpus_words(spark, sf_dir).withColumn("root", F.left(T.strip_diacritics(F.col("word")), F.lit(4))).where("length(root) >= 3")
+    w = w.select("word", "root", F.explode(F.array(*[F.lit(p) for p in PATTERNS])).alias("pattern"))
+    return w.select("word", "pattern", T.fill_root(F.col("root"), F.col("pattern")).alias("filled"), T.fits_pattern(F.col("root"), T.strip_diacritics(F.col("pattern"))).cast("int").alias("fits"))
+
+
+FILL_SQL = f"""WITH {WORDS_SQL}, r AS (SELECT word, left(translate(word, '{DIACRITICS}', ''), 4) AS root FROM w),
+p AS (SELECT word, root, unnest([{', '.join(repr(p) for p in PATTERNS)}]) AS pattern FROM r WHERE length(root) >= 3),
+k AS (SELECT *, string_split(pattern, '') AS c, translate(pattern, '{DIACRITICS}', '') AS bare FROM p)
+SELECT word, pattern, list_aggregate(list_transform(c, lambda x, i: CASE x WHEN 'ف' THEN substr(root, 1, 1) WHEN 'ع' THEN substr(root, 2, 1)
+ WHEN 'ل' THEN substr(root, (3 + least(len(list_filter(c[1:i], lambda y: y = 'ل')) - 1, length(root) - 3))::INT, 1) ELSE x END), 'string_agg', '') AS filled,
+len(list_filter(range(1, least(length(root), length(bare)) + 1), lambda i: NOT (substr(bare, i::INT, 1) IN ('ف', 'ع', 'ل') OR substr(bare, i::INT, 1) = substr(root, i::INT, 1)))) = 0)::INT AS fits FROM k"""
+FILL_SQL = FILL_SQL.replace("len(list_filter(range", "(len(list_filter(range")
+
+
+def word_readings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All readings of the lexical words of the orders."""
+    from mizan.plans.analyze import analyze_words
+
+    found = analyze_words(lexical_words(spark, sf_dir), lexicon(spark))
+    return found.select("word", "rank", "diacritized", "lemma", "root", "stem", "pos", "type", "score", F.size("inflections").alias("n_inflections"))
+
+
+def top_reading_per_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from mizan.plans.analyze import analyze_words
+
+    occurrences = lexical_words(spark, sf_dir)
+    best = analyze_words(occurrences, lexicon(spark)).where("rank = 1").select("word", "diacritized", "lemma", "pos")
+    return occurrences.join(F.broadcast(best), "word", "left").select("o_orderkey", "word", "diacritized", "lemma", "pos")
+
+
+def explode_inflections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from mizan.plans.analyze import analyze_words
+
+    return exploded(analyze_words(lexical_words(spark, sf_dir), lexicon(spark))).select("word", "rank", "inflection_ix", "diacritized", "case", "mood", "state", "score")
+
+
+_RUN = f"regexp_extract(word, '([{DIACRITICS}]+)$', 1)"
+_TAIL = f"regexp_extract(word, '([{DIACRITICS}]+)[اى]$', 1)"
+_KEEP = "CASE WHEN contains({0}, 'ّ') THEN 'ّ' ELSE '' END"
+_STRIP_CASE = (
+    f"CASE WHEN {_RUN} <> '' THEN regexp_replace(word, '[{DIACRITICS}]+$', '') || {_KEEP.format(_RUN)} "
+    f"WHEN contains({_TAIL}, 'ً') THEN regexp_replace(word, '[{DIACRITICS}]*[اى]$', '') || {_KEEP.format(_TAIL)} || 'َ' || right(word, 1) ELSE word END"
+)
+
+QUERIES = {
+    "translit_bw": (_per_word(latin=T.to_latin), _sql(latin=f"translate(word, '{ARABIC}', '{_lat(LATIN)}')")),
+    "strip_diacritics": (_per_word(bare=T.strip_diacritics), _sql(bare=f"translate(word, '{DIACRITICS}', '')")),
+    "strip_last_diacritic": (_per_word(cut=T.strip_last_diacritic), _sql(cut=f"regexp_replace(word, '[{NOT_SHADDA}]$', '')")),
+    "strip_case_ending": (_per_word(cut=T.strip_case_ending), _sql(cut=_STRIP_CASE)),
+    "hamza_forms": (
+        _per_word(folded=T.fold_hamza, dropped=T.drop_hamza, first=T.first_hamza),
+        _sql(folded=f"translate(word, '{CARRIERS}', '{HAMZA * len(CARRIERS)}')", dropped=f"translate(word, '{CARRIERS}', '')", first=f"regexp_extract(word, '[{CARRIERS}]')"),
+    ),
+    "normalize_word": (_per_word(normal=T.normalize_word), _sql(normal=normalize_sql("word"))),
+    "tokenize_sentences": (tokenize_sentences, TOKENIZE_SQL),
+    "clitic_candidates": (clitic_candidates, _clitic_sql),
+    "segment_words": (segment_words, _segment_sql),
+    "exceptional_lookup": (exceptional_lookup, _exceptional_sql),
+    "parse_pos_label": (parse_pos_label, _label_sql),
+    "fill_root_pattern": (fill_root_pattern, FILL_SQL),
+    "word_readings": (word_readings, None),
+    "top_reading_per_order": (top_reading_per_order, None),
+    "explode_inflections": (explode_inflections, None),
+}
+
 
 def queries():
-    return {}
+    return {k: f for k, (f, _) in QUERIES.items()}
 
 
 def oracle_sql():
-    return {}
+    return {k: q if isinstance(q, str) else q() for k, (_, q) in QUERIES.items() if q is not None}
 
 
-def flagship(spark, sf_dir):
-    return spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id")
+def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return top_reading_per_order(spark, sf_dir)

@@ -184,6 +184,10 @@ def _derived(cat: str) -> dict[str, list]:
     return out
 
 
+#: A model of a few counts, in the length-prefixed layout.
+MODEL_LINES = ["S0 1000"] + [f"S1 {len(w):02d} {w} {n}" for w, n in (("*ahaba", 40), ("<ilaY", 9), ("kataba", 25))] + ["B 041 *hb 4 061 *ahaba 3 ".replace("041", "031"), "A 061 *ahaba 8 051 <ilaY 4 "]
+
+
 def write(folder: str) -> str:
     """Write the demo lexicon as gzip JSON Lines; returns the folder."""
     os.makedirs(folder, exist_ok=True)

@@ -8,6 +8,7 @@ them from 1. The dimension tables that the plans join are derived here once;
 
 from __future__ import annotations
 
+import json
 from dataclasses import dataclass, fields
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -72,6 +73,10 @@ def _path(spark: SparkSession, folder: str, file: str) -> str:
 def _lines(spark: SparkSession, folder: str, file: str) -> DataFrame:
     """(n, line): lines that are not blank, numbered from 0. The numbers come
     from the whole file's order, not from how it is split."""
+    if isinstance(folder, dict):  # records at hand
+        if file not in folder:
+            raise MissingTable(f"lexicon table {file} is not among the records")
+        return spark.createDataFrame([(i, json.dumps(r, ensure_ascii=False)) for i, r in enumerate(folder[file])], "n int, line string")
     whole = spark.read.text(_path(spark, folder, file), wholetext=True)
     kept = F.filter(F.split("value", "\n"), lambda x: F.trim(x) != "")
     return whole.select(F.posexplode(kept).alias("n", "line"))
@@ -117,12 +122,16 @@ class Lexicon:
         for f in fields(self):
             getattr(self, f.name).write.mode("overwrite").parquet(f"{folder}/{f.name}")
 
+    def local(self, spark: SparkSession) -> Lexicon:
+        """The same with tables held by the driver; for small lexicons only."""
+        return Lexicon(**{f.name: spark.createDataFrame(getattr(self, f.name).collect(), getattr(self, f.name).schema) for f in fields(self)})
+
     @classmethod
     def open(cls, spark: SparkSession, folder: str) -> Lexicon:
         return cls(**{f.name: spark.read.parquet(f"{folder}/{f.name}") for f in fields(cls)})
 
 
-def _clitics(spark, folder, name) -> DataFrame:
+def clitics(spark, folder, name) -> DataFrame:
     rows = read_map(spark, folder, FILES[name], _CLITIC).select("key", F.posexplode("value").alias("ord", "c"))
     empty = lambda c: F.coalesce(F.col(f"c.{c}"), F.lit("")).alias(c)
     return rows.select(F.col("key").alias("surface"), "ord", empty("unvoweledform"), empty("voweledform"), F.col("c.desc").alias("desc"), empty("classe"))
@@ -137,8 +146,8 @@ def _pair(c: str, name: str) -> list[Column]:
     return [parts[0].cast("int").alias(f"{name}_len"), parts[1].cast("int").alias(f"{name}_id")]
 
 
-def load(spark: SparkSession, folder: str) -> Lexicon:
-    """Read a lexicon folder and derive the dimension tables."""
+def load(spark: SparkSession, folder: str | dict[str, list]) -> Lexicon:
+    """Read a lexicon folder (or records by file) and derive the dimension tables."""
     m = lambda f, v: read_map(spark, folder, f, v)
     ls = lambda f, r: read_list(spark, folder, f, r)
     exceptional = m(FILES["exceptional"], "struct<voweledform:string,proclitic:string,stem:string,pos:string,enclitic:string>").select(F.col("key").alias("word"), "value.*")
@@ -200,7 +209,7 @@ def load(spark: SparkSession, folder: str) -> Lexicon:
     casemood = _both(spark, folder, lambda cat: ls(file("casemood", cat), "valAR string, valEN string").select("id", F.col("valAR").alias("casemood")))
     pattern, unvoweled = _both(spark, folder, pattern_of), _both(spark, folder, unvoweled_of)
     formula, roots, pos = _both(spark, folder, formula_of), _both(spark, folder, roots_of), _both(spark, folder, pos_of)
-    lex = Lexicon(_clitics(spark, folder, "proclitics"), _clitics(spark, folder, "enclitics"), exceptional, tool, pn, pattern, formula, roots, unvoweled, pos, casemood, None, None)  # type: ignore[arg-type]
+    lex = Lexicon(clitics(spark, folder, "proclitics"), clitics(spark, folder, "enclitics"), exceptional, tool, pn, pattern, formula, roots, unvoweled, pos, casemood, None, None)  # type: ignore[arg-type]
     lex.stem_index, lex.reading = stem_index(lex), readings(lex)
     return lex
 
