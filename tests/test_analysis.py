@@ -46,7 +46,7 @@ def test_queries_match_sql(spark, name):
         c.execute(f"create view {t} as select * from '{SF}/{t}.parquet'")
     mine = Q.queries()[name](spark, SF)
     names = sorted(mine.columns)
-    want = c.execute(Q.oracle_sql()[name]).fetch_arrow_table().select(names).to_pylist()
+    want = c.execute(Q.oracle_sql()[name]).to_arrow_table().select(names).to_pylist()
     rows = lambda x: sorted(repr([r[n] for n in names]) for r in x)
     assert rows(r.asDict() for r in mine.collect()) == rows(want)
 
