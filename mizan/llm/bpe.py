@@ -32,7 +32,7 @@ from pyspark import SparkFiles
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mizan.llm.common import documents, text_or_empty
+from mizan.llm.common import documents, text_or_empty, written
 
 #: Fixed value: the pre-tokenizer's pattern of the byte-level vocabularies.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -309,7 +309,16 @@ def frequent_pieces(docs: DataFrame, most: int = LEXICON) -> list[str]:
     """The pieces that occur most, counted over all whole texts; ties by the
     piece itself. ``most`` bounds what reaches the driver."""
     partial = docs.select(text_or_empty().alias("text")).mapInArrow(_count, "piece string, n long")
-    top = partial.where(F.length("piece") < 100).groupBy("piece").agg(F.sum("n").alias("n")).where("n > 1").orderBy(F.desc("n"), "piece").limit(most)
+    counts = partial.where(F.length("piece") < 100).groupBy("piece").agg(F.sum("n").alias("n")).where("n > 1")
+    counts = written(counts.withColumn("size", F.floor(F.log2("n") * 16).cast("int")), "pieces")
+    # A histogram of at most 1024 sizes tells where the most frequent begin, so
+    # that little more than those is sorted.
+    least, held = 0, 0
+    for size, n in sorted(((r["size"], r["count"]) for r in counts.groupBy("size").count().collect()), reverse=True):
+        least, held = size, held + n
+        if held >= most:
+            break
+    top = counts.where(F.col("size") >= least).orderBy(F.desc("n"), "piece").limit(most)
     return [r["piece"] for r in top.collect()]
 
 
