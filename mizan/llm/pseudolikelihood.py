@@ -5,11 +5,21 @@ their vectors pass a hidden layer, which gives the token's class and, within
 the class, the token. A document's score is the sum of the logarithms of these
 conditional probabilities.
 
-Words are counted over all documents; the VOCABULARY most frequent are tokens,
-and the others fall into a few tokens by hash. Every partition trains on all
-its documents, from the same start, and the models are averaged, weighted by
-tokens, through a reduction tree; a short turn on the first batch of each
-partition comes before the full one. So what is gathered follows the input.
+Words are counted over all documents. The HEAD most frequent are tokens of that
+softmax, and the others fall into RARE of its tokens, buckets, by hash. Within
+a bucket, every word that occurs often enough (``least``: MIN_COUNT times, and
+more often in a large corpus, with the root of its tokens) has its own vector
+and a leaf of a binary tree, whose nodes decide by the hidden layer and start
+at the words' counts. One leaf stands for all rarer words of the bucket; such a
+word has its share of their counts, for which the words of all documents meet
+the counted ones in a join, and all words that were not counted have the share
+of one occurrence. So the probabilities of all words sum to 1, and vocabulary
+and parameters grow with the input.
+
+Every partition trains on all its documents, from the same start, and the
+models are averaged: the softmax weighted by tokens, through a reduction tree,
+and each row of the trees and word vectors weighted by its uses. A short turn
+on the first batch of each partition comes before the full one.
 
 Defined results: null and empty texts have no tokens, sum 0.0 and a null mean;
 repeated rows score alike; texts of any length are scored to the end; an empty
@@ -28,14 +38,21 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from mizan.llm.common import documents, text_or_empty, written
+from mizan.llm.textkit import chunks, mix, word_hashes
 
 #: Classes, tokens in a class; tokens for rare words; 0 stands for the edge.
 CLASSES, PER_CLASS, RARE = 32, 32, 63
-VOCABULARY = CLASSES * PER_CLASS - RARE - 1
+BASE = CLASSES * PER_CLASS
+HEAD = BASE - RARE - 1
+#: Least count of a word with its own parameters; the root of the tokens is
+#: divided by ROOT_PART.
+MIN_COUNT, ROOT_PART = 10, 200
+#: Learning rate of trees and word vectors; their rows, and rare words, that one task averages.
+TAIL_RATE, TASK_ROWS, TASK_WORDS = 0.1, 50_000, 2_000_000
 SIDE, DIM, HIDDEN, BATCH, RATE, SEED = 2, 8, 16, 8192, 0.004, 11
 FAN_IN = 16
 
-_SHAPES = {"E": (CLASSES * PER_CLASS, DIM), "W": (2 * SIDE * DIM, HIDDEN), "b": (HIDDEN,), "Wc": (HIDDEN, CLASSES), "bc": (CLASSES,), "Wo": (CLASSES, HIDDEN, PER_CLASS), "bo": (CLASSES, PER_CLASS)}
+_SHAPES = {"E": (BASE, DIM), "W": (2 * SIDE * DIM, HIDDEN), "b": (HIDDEN,), "Wc": (HIDDEN, CLASSES), "bc": (CLASSES,), "Wo": (CLASSES, HIDDEN, PER_CLASS), "bo": (CLASSES, PER_CLASS)}
 
 
 def start_model() -> dict[str, np.ndarray]:
@@ -55,6 +72,128 @@ def unpack(flat: np.ndarray) -> dict[str, np.ndarray]:
     return out
 
 
+_BASE_SIZE = sum(int(np.prod(s)) for s in _SHAPES.values())
+
+
+class Vocabulary(list):
+    """Words by falling count, with ``counts`` of them, ``rest`` (the count of
+    all other words, by bucket) and ``table`` (all words and their counts)."""
+
+    def __init__(self, words=(), counts=(), rest=None, table: DataFrame | None = None):
+        super().__init__(words)
+        self.counts = np.array(counts if len(counts) else np.ones(len(self)), np.float64)
+        self.rest = np.zeros(RARE) if rest is None else np.asarray(rest, np.float64)
+        self.table = table
+
+    def parts(self) -> tuple:
+        """What tasks need, to be broadcast."""
+        return list(self), self.counts, self.rest
+
+
+def least(total: int) -> int:
+    """Occurrences from which a word has its own parameters."""
+    return max(MIN_COUNT, int(total**0.5 / ROOT_PART))
+
+
+class Tail:
+    """Trees within the buckets and vectors of the words beyond the HEAD.
+
+    A bucket with S leaves has the nodes 1 to S - 1 and the leaves S to 2S - 1,
+    node k above 2k and 2k + 1; leaf S is that of the rarer words. ``base`` is
+    the softmax token of each token."""
+
+    def __init__(self, words: list[str], counts: np.ndarray, rest: np.ndarray):
+        bucket = np.array([zlib.crc32(w.encode()) % RARE for w in words[HEAD:]], np.int64)
+        self.base = np.concatenate([np.arange(BASE), bucket + 1]).astype(np.int16)
+        owner = np.concatenate([np.arange(RARE), bucket])
+        size = np.bincount(owner, minlength=RARE)
+        first = np.cumsum(size) - size
+        order = np.argsort(owner, kind="stable")
+        place = np.empty(len(owner), np.int64)
+        place[order] = np.arange(len(owner)) - first[owner[order]]
+        self.first, self.leaf = first[owner], size[owner] + place
+        self.depth = np.frexp(self.leaf)[1].astype(np.int64) - 1
+        mass = np.concatenate([rest, counts[HEAD:]]) + 0.5
+        self.start = np.zeros((len(owner), HIDDEN + 1), np.float32)
+        for b in range(RARE):
+            n = int(size[b])
+            heap = np.zeros(2 * n)
+            heap[n:] = mass[order[first[b] : first[b] + n]]
+            for level in range(n.bit_length(), -1, -1):
+                k = np.arange(1 << level, min(2 << level, n))
+                heap[k] = heap[2 * k] + heap[2 * k + 1]
+            k = np.arange(1, n)
+            self.start[first[b] + k, HIDDEN] = np.log(heap[2 * k + 1] / heap[2 * k])
+        self.nodes, self.vectors = self.start.copy(), np.zeros((len(self.base), DIM), np.float32)
+
+    def load(self, flat: np.ndarray) -> Tail:
+        """Takes its rows from behind the softmax model; without any, the start."""
+        if len(flat) > _BASE_SIZE:
+            at = _BASE_SIZE + self.nodes.size
+            self.nodes = flat[_BASE_SIZE:at].reshape(self.nodes.shape).copy()
+            self.vectors = flat[at:].reshape(self.vectors.shape).copy()
+        return self
+
+    def train(self) -> None:
+        """Squares and uses of each row."""
+        self.node_squares, self.vector_squares = np.ones_like(self.nodes), np.ones_like(self.vectors)
+        self.node_uses, self.vector_uses = np.zeros(len(self.nodes), np.float32), np.zeros(len(self.vectors), np.float32)
+
+    def paths(self, target: np.ndarray) -> tuple:
+        """Of targets in a bucket: their places in ``target``, in order of
+        their leaves, and by depth the nodes, -1 or 1 for the child, and
+        whether the path has that depth."""
+        own = np.flatnonzero(((target > 0) & (target <= RARE)) | (target >= BASE))
+        j = np.where(target[own] >= BASE, target[own] - BASE + RARE, target[own] - 1)
+        by = np.argsort(2 * self.first[j] + self.leaf[j], kind="stable")
+        own, j = own[by], j[by]
+        leaf, left = self.leaf[j], self.depth[j] - np.arange(self.depth.max(initial=0))[:, None]
+        held, left = left > 0, np.maximum(left, 1)
+        sign = (2 * ((leaf >> (left - 1)) & 1) - 1).astype(np.float32)
+        return own, self.first[j] + np.where(held, leaf >> left, 0), sign, held
+
+    def decide(self, h: np.ndarray, node: np.ndarray, sign: np.ndarray, held: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Rows of the nodes, and the probability of each child that is taken."""
+        rows = self.nodes.take(node, 0)
+        z = np.einsum("lnk,nk->ln", rows, h)
+        return rows, np.where(held, 1 / (1 + np.exp(np.clip(-sign * z, -60, 60))), np.float32(1))
+
+    def learn(self, h: np.ndarray, target: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Changes the nodes; the places in ``target`` and the gradient for ``h``."""
+        own, node, sign, held = self.paths(target)
+        wide = _wide(h, own)
+        rows, chance = self.decide(wide, node, sign, held)
+        d = sign * (chance - 1)
+        grown = np.einsum("ln,lnk->nk", d, rows)
+        for at, k in enumerate(d):
+            i = np.flatnonzero(held[at])
+            _descend(self.nodes, self.node_squares, self.node_uses, node[at][i], k[i, None] * wide[i])
+        return own, grown[:, :HIDDEN]
+
+    def learn_vectors(self, context: np.ndarray, dx: np.ndarray) -> None:
+        i = np.flatnonzero(context >= BASE)
+        by = i[np.argsort(context[i].astype(np.uint16), kind="stable")]  # 16 bits are sorted faster
+        by = by[np.argsort((context[by] >> 16).astype(np.uint16), kind="stable")]
+        _descend(self.vectors, self.vector_squares, self.vector_uses, context[by], dx[by])
+
+
+def _wide(h: np.ndarray, own: np.ndarray) -> np.ndarray:
+    """Hidden layers and a one for the nodes' last column."""
+    return np.concatenate([h[own], np.ones((len(own), 1), h.dtype)], 1)
+
+
+def _descend(table: np.ndarray, squares: np.ndarray, uses: np.ndarray, row: np.ndarray, g: np.ndarray) -> None:
+    """A step against the gradients ``g`` of rows whose equal ones are together."""
+    if not len(row):
+        return
+    first, n = np.flatnonzero(np.concatenate([[True], row[1:] != row[:-1]])), len(row)
+    row, g = row[first], np.add.reduceat(g, first)
+    uses[row] += np.diff(first, append=n)
+    held = squares.take(row, 0) + g * g
+    squares[row] = held
+    table[row] = table.take(row, 0) - np.float32(TAIL_RATE) * g / np.sqrt(held)
+
+
 class Tokens(dict):
     """Token of each word: frequent ones in order, others by hash."""
 
@@ -70,19 +209,26 @@ class Tokens(dict):
         return out
 
 
-def layout(texts: list[str], tokens: Tokens) -> tuple[np.ndarray, np.ndarray]:
-    """Tokens of all texts with edges between them, and how many each has."""
-    edge, parts, sizes = np.zeros(SIDE, np.int16), [np.zeros(SIDE, np.int16)], []
+def layout(texts: list[str], tokens: Tokens, rare: list[list[str]] | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Tokens of all texts with edges between them, and how many each has.
+    ``rare`` takes each text's words that have only a bucket."""
+    edge, parts, sizes = np.zeros(SIDE, np.int32), [np.zeros(SIDE, np.int32)], []
     for text in texts:
-        ids = np.array(list(map(tokens.__getitem__, text.lower().split())), np.int16)
+        words = text.lower().split()
+        ids = np.array(list(map(tokens.__getitem__, words)), np.int32)
+        if rare is not None:
+            rare.append([words[i] for i in np.flatnonzero(ids <= RARE)])
         parts += [ids, edge]
         sizes.append(len(ids))
     return np.concatenate(parts), np.array(sizes, np.int64)
 
 
-def _hidden(p: dict, ids: np.ndarray, at: np.ndarray):
+def _hidden(p: dict, ids: np.ndarray, at: np.ndarray, tail: Tail | None = None):
     context = np.concatenate([ids[at + o][:, None] for o in range(-SIDE, SIDE + 1) if o], 1)
-    x = p["E"][context].reshape(len(at), -1)
+    x = p["E"].take(context if tail is None else tail.base[context], 0)
+    if tail is not None:
+        x += tail.vectors.take(context, 0)
+    x = x.reshape(len(at), -1)
     return context, x, np.tanh(x @ p["W"] + p["b"])
 
 
@@ -94,31 +240,38 @@ def _log_softmax(z: np.ndarray) -> np.ndarray:
 def _by_class(target: np.ndarray):
     """Order that brings the targets of a class together, and the runs."""
     group = target // PER_CLASS
-    order = np.argsort(group, kind="stable")
+    order = np.argsort(group.astype(np.int16), kind="stable")
     ends = np.cumsum(np.bincount(group, minlength=CLASSES))
     return order, [(c, a, b) for c, (a, b) in enumerate(zip(np.append(0, ends), ends)) if b > a]
 
 
-def log_probabilities(p: dict, ids: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """Of the tokens at the places ``at``, given both sides."""
+def log_probabilities(p: dict, ids: np.ndarray, at: np.ndarray, tail: Tail | None = None) -> np.ndarray:
+    """Of the tokens at the places ``at``, given both sides; a token of a
+    bucket stands for its rarer words if there is a ``tail``."""
     out = np.empty(len(at), np.float32)
     for i in range(0, len(at), BATCH):
         part = at[i : i + BATCH]
-        target = ids[part].astype(np.int64)
+        full = ids[part].astype(np.int64)
+        target = full if tail is None else tail.base[full]
         order, spans = _by_class(target)
-        _, _, h = _hidden(p, ids, part[order])
+        _, _, h = _hidden(p, ids, part[order], tail)
         target = target[order]
         rows = np.arange(len(part))
         value = _log_softmax(h @ p["Wc"] + p["bc"])[rows, target // PER_CLASS]
         for c, a, b in spans:
             value[a:b] += _log_softmax(h[a:b] @ p["Wo"][c] + p["bo"][c])[rows[: b - a], target[a:b] % PER_CLASS]
+        if tail is not None:
+            own, *path = tail.paths(full[order])
+            value[own] += np.log(tail.decide(_wide(h, own), *path)[1]).sum(0)
         out[i + order] = value
     return out
 
 
 class Trainer:
-    def __init__(self, p: dict):
-        self.p, self.step = {n: v.copy() for n, v in p.items()}, 0
+    def __init__(self, p: dict, tail: Tail | None = None):
+        self.p, self.step, self.tail = {n: v.copy() for n, v in p.items()}, 0, tail
+        if tail is not None:
+            tail.train()
         self.m = {n: np.zeros_like(v) for n, v in p.items()}
         self.v = {n: np.zeros_like(v) for n, v in p.items()}
 
@@ -127,11 +280,12 @@ class Trainer:
             self._batch(ids, at[i : i + BATCH])
 
     def _batch(self, ids: np.ndarray, at: np.ndarray) -> None:
-        p, n = self.p, len(at)
-        target = ids[at].astype(np.int64)
+        p, n, tail = self.p, len(at), self.tail
+        full = ids[at].astype(np.int64)
+        target = full if tail is None else tail.base[full]
         order, spans = _by_class(target)
         target = target[order]
-        context, x, h = _hidden(p, ids, at[order])
+        context, x, h = _hidden(p, ids, at[order], tail)
         rows = np.arange(n)
         d = np.exp(_log_softmax(h @ p["Wc"] + p["bc"]))
         d[rows, target // PER_CLASS] -= 1
@@ -144,11 +298,17 @@ class Trainer:
             e /= n
             g["Wo"][c], g["bo"][c] = h[a:b].T @ e, e.sum(0)
             dh[a:b] += e @ p["Wo"][c].T
+        if tail is not None:
+            own, grown = tail.learn(h, full[order])
+            dh[own] += grown / n
         dh *= 1 - h * h
         g["W"], g["b"] = x.T @ dh, dh.sum(0)
         flat = context.ravel()
         dx = (dh @ p["W"].T).reshape(-1, DIM)
-        by = np.argsort(flat, kind="stable")
+        if tail is not None:
+            tail.learn_vectors(flat, dx * n)
+            flat = tail.base[flat]
+        by = np.argsort(flat.astype(np.int16), kind="stable")
         first = np.flatnonzero(np.concatenate([[True], flat[by][1:] != flat[by][:-1]]))
         g["E"] = np.zeros_like(p["E"])
         g["E"][flat[by][first]] = np.add.reduceat(dx[by], first)
@@ -178,10 +338,23 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.record_batch([pa.array(counts.keys(), pa.string()), pa.array(counts.values(), pa.int64())], ["word", "n"])
 
 
-def vocabulary(docs: DataFrame) -> list[str]:
-    """The most frequent words, counted over all whole texts."""
-    counts = docs.mapInArrow(_count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
-    return [r["word"] for r in counts.orderBy(F.desc("n"), "word").limit(VOCABULARY).collect()]
+def vocabulary(docs: DataFrame) -> Vocabulary:
+    """The HEAD most frequent words and all of the ``least`` count, counted
+    over all whole texts."""
+    counts = written(docs.mapInArrow(_count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n")), "counts")
+    top = counts.orderBy(F.desc("n"), "word").limit(HEAD).select("n").collect()
+    total = counts.agg(F.sum("n")).first()[0] or 0
+    floor = min(least(total), top[-1]["n"]) if top else 1
+    held = counts.where(F.col("n") >= floor).toArrow()
+    names, n = held["word"].to_pylist(), held["n"].to_numpy()
+    order = sorted(range(len(names)), key=lambda i: (-n[i], names[i].encode()))
+    order = order[: max(HEAD, int((n >= least(total)).sum()))]
+    words, n = [names[i] for i in order], n[order]
+    rest = np.zeros(RARE)
+    for r in counts.groupBy(F.pmod(F.crc32(F.col("word").cast("binary")), F.lit(RARE)).alias("b")).agg(F.sum("n").alias("n")).collect():
+        rest[r["b"]] = r["n"]
+    np.subtract.at(rest, [zlib.crc32(w.encode()) % RARE for w in words], n)
+    return Vocabulary(words, n, rest, counts)
 
 
 def _sum(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -206,16 +379,46 @@ def _average(models: DataFrame) -> np.ndarray | None:
     return sum(np.frombuffer(t, np.float64) for _, t in rows) / weight if weight else None
 
 
-def train(docs: DataFrame, frequent: list[str]) -> np.ndarray:
+def _touched(tail: Tail, start: Tail) -> Iterator[tuple]:
+    """Part, rows, uses and changes of the tail's used rows; the rows of the
+    word vectors come after those of the nodes."""
+    at = 0
+    for table, old, uses in ((tail.nodes, start.nodes, tail.node_uses), (tail.vectors, start.vectors, tail.vector_uses)):
+        rows = np.flatnonzero(uses)
+        cut = np.searchsorted((rows + at) // TASK_ROWS, np.arange((at + len(table)) // TASK_ROWS + 2))
+        for part, (a, b) in enumerate(zip(cut, cut[1:])):
+            if b > a:
+                r = rows[a:b]
+                yield part, (r + at).tobytes(), uses[r].astype(np.float64).tobytes(), (table[r] - old[r]).astype(np.float16).tobytes(), table.shape[1]
+        at += len(table)
+
+
+def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Mean change of each row of the tail, weighted by its uses."""
+    held: dict[tuple, tuple] = {}
+    for batch in batches:
+        for part, rows, uses, change, wide in zip(*(c.to_pylist() for c in batch.columns)):
+            rows, uses = np.frombuffer(rows, np.int64) - part * TASK_ROWS, np.frombuffer(uses, np.float64)
+            weight, total = held.setdefault((part, wide), (np.zeros(TASK_ROWS), np.zeros((TASK_ROWS, wide))))
+            weight[rows] += uses
+            total[rows] += uses[:, None] * np.frombuffer(change, np.float16).reshape(-1, wide)
+    for (part, wide), (weight, total) in held.items():
+        rows = np.flatnonzero(weight)
+        mean = (total[rows] / weight[rows, None]).astype(np.float16)
+        yield pa.record_batch([pa.array([(rows + part * TASK_ROWS).tobytes()], pa.binary()), pa.array([mean.tobytes()], pa.binary()), pa.array([wide], pa.int32())], ["rows", "change", "wide"])
+
+
+def train(docs: DataFrame, frequent: Vocabulary) -> np.ndarray:
     """``docs``: one column, text. Two turns of local training and averaging."""
     sc = docs.sparkSession.sparkContext
-    flat = pack(start_model())
+    tail = Tail(*frequent.parts())
+    flat = np.concatenate([pack(start_model()), tail.nodes.ravel(), tail.vectors.ravel()])
     for whole in (False, True):
-        held = sc.broadcast((flat, frequent))
+        held = sc.broadcast((flat, frequent.parts()))
 
         def run(batches: Iterator[pa.RecordBatch], whole=whole, held=held) -> Iterator[pa.RecordBatch]:
-            start, words = held.value
-            trainer, tokens, seen = Trainer(unpack(start)), Tokens(words), 0
+            start, known = held.value
+            trainer, tokens, seen = Trainer(unpack(start), Tail(*known).load(start)), Tokens(known[0]), 0
             for batch in batches:
                 if not whole and seen:
                     continue
@@ -224,31 +427,110 @@ def train(docs: DataFrame, frequent: list[str]) -> np.ndarray:
                     trainer.learn(ids, _places(sizes))
                     seen += int(sizes.sum())
             if seen:
-                yield pa.record_batch([pa.array([float(seen)]), pa.array([(pack(trainer.p).astype(np.float64) * seen).tobytes()], pa.binary())], ["weight", "total"])
-
-        mean = _average(written(docs.mapInArrow(run, "weight double, total binary"), "models"))
+                model = (pack(trainer.p).astype(np.float64) * seen).tobytes()
+                rows = [(-1, float(seen), None, None, model, 0), *((p, 0.0, r, u, c, w) for p, r, u, c, w in _touched(trainer.tail, Tail(*known).load(start)))]
+                kinds = [pa.int32(), pa.float64(), pa.binary(), pa.binary(), pa.binary(), pa.int32()]
+                for row in rows:
+                    yield pa.record_batch([pa.array([x], k) for x, k in zip(row, kinds)], ["part", "weight", "rows", "uses", "total", "wide"])
+
+        models = written(docs.mapInArrow(run, "part int, weight double, rows binary, uses binary, total binary, wide int"), "models")
+        mean = _average(models.where("part < 0").select("weight", "total"))
         if mean is None:
             return flat
-        flat = mean.astype(np.float32)
+        flat[:_BASE_SIZE] = mean
+        parts = (len(tail.nodes) + len(tail.vectors)) // TASK_ROWS + 1
+        changes = models.where("part >= 0").select("part", "rows", "uses", "total", "wide").repartition(parts, "part").mapInArrow(_merge, "rows binary, change binary, wide int")
+        tail.load(flat)
+        for r in changes.collect():
+            rows, change = np.frombuffer(r["rows"], np.int64), np.frombuffer(r["change"], np.float16).reshape(-1, r["wide"])
+            if r["wide"] == DIM:
+                tail.vectors[rows - len(tail.nodes)] += change
+            else:
+                tail.nodes[rows] += change
+        flat = np.concatenate([flat[:_BASE_SIZE], tail.nodes.ravel(), tail.vectors.ravel()])
     return flat
 
 
-def score(docs: DataFrame, flat: np.ndarray, frequent: list[str]) -> DataFrame:
+def _hashes(words: list[str]) -> np.ndarray:
+    """A 64-bit hash of each word."""
+    found = [word_hashes(data, offsets[:-1], offsets[1:], lower=False) for _, data, offsets in chunks(pa.array(words, pa.string()))]
+    return np.concatenate(found) if found else np.zeros(0, np.uint64)
+
+
+def _deal(parts: int, hashes: np.ndarray, *values: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """Hashes and values as bytes, by the part that owns the hash."""
+    part = (mix(hashes) % np.uint64(parts)).astype(np.int64)
+    order = np.argsort(part, kind="stable")
+    ends = np.cumsum(np.bincount(part, minlength=parts))
+    for p, (a, b) in enumerate(zip(np.append(0, ends), ends)):
+        if b > a:
+            packed = [x[order[a:b]].tobytes() for x in (hashes, *values)]
+            yield pa.record_batch([pa.array([p], pa.int32()), *(pa.array([x], pa.binary()) for x in packed)], ["p", "word", "row", "n"])
+
+
+def _shares(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """For each document, by row, the logarithms of its rare words' counts;
+    counted words come with row -1. Words without a count have 1."""
+    by_part: dict[int, list] = {}
+    for batch in batches:
+        for p, *blobs in zip(*(c.to_pylist() for c in batch.columns)):
+            by_part.setdefault(p, []).append([np.frombuffer(x, k) for x, k in zip(blobs, (np.uint64, np.int64, np.int64))])
+    while by_part:
+        _, held = by_part.popitem()
+        word, row, n = (np.concatenate(x) for x in zip(*held))
+        known = row < 0
+        order = np.argsort(word[known])
+        words, counts = np.append(word[known][order], np.uint64(0)), np.append(n[known][order], 1)
+        at = np.searchsorted(words[:-1], word[~known])
+        value = n[~known] * np.log(np.where(words[at] == word[~known], counts[at], 1))
+        row, inverse = np.unique(row[~known], return_inverse=True)
+        if len(row):
+            yield pa.record_batch([pa.array(row), pa.array(np.bincount(inverse, value))], ["_row", "shares"])
+
+
+def score(docs: DataFrame, flat: np.ndarray, frequent: Vocabulary) -> DataFrame:
     """doc_id, n_tokens, log_likelihood (sum) and mean_log_likelihood."""
-    held = docs.sparkSession.sparkContext.broadcast((flat, frequent))
+    spark = docs.sparkSession
+    held = spark.sparkContext.broadcast((flat, frequent.parts()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        flat, words = held.value
-        p, tokens = unpack(flat), Tokens(words)
+        flat, known = held.value
+        p, tokens, tail, rest = unpack(flat), Tokens(known[0]), Tail(*known).load(flat), np.append(0, np.log(known[2] + 1))
         for batch in batches:
             for i in range(0, batch.num_rows, 256):
-                part = batch.slice(i, 256)
-                ids, sizes = layout(part.column(1).to_pylist(), tokens)
-                value = np.append(0.0, np.cumsum(log_probabilities(p, ids, _places(sizes)), dtype=np.float64))
+                part, rare = batch.slice(i, 256), []
+                ids, sizes = layout(part.column(1).to_pylist(), tokens, rare)
+                at = _places(sizes)
+                each = log_probabilities(p, ids, at, tail).astype(np.float64)
+                each -= np.where(ids[at] <= RARE, rest[np.minimum(ids[at], RARE)], 0)
+                value = np.append(0.0, np.cumsum(each))
                 ends = np.cumsum(sizes)
-                yield pa.record_batch([part.column(0), pa.array(sizes), pa.array(value[ends] - value[ends - sizes])], ["doc_id", "n_tokens", "log_likelihood"])
+                hashes, cut = _hashes([w for ws in rare for w in ws]), np.cumsum([0, *map(len, rare)])
+                blobs = pa.array([hashes[a:b].tobytes() for a, b in zip(cut, cut[1:])], pa.binary())
+                yield pa.record_batch([part.column(0), pa.array(sizes), pa.array(value[ends] - value[ends - sizes]), part.column(2), blobs], ["doc_id", "n_tokens", "likelihood", "_row", "rare"])
+
+    numbered = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"), F.monotonically_increasing_id().alias("_row"))
+    d = written(numbered.mapInArrow(run, "doc_id long, n_tokens long, likelihood double, _row long, rare binary"), "scores")
+    rare = d.agg(F.sum(F.length("rare"))).first()[0] or 0
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), rare // 8 // TASK_WORDS + 1)
 
-    d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text")).mapInArrow(run, "doc_id long, n_tokens long, log_likelihood double")
+    def used(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            blobs = batch.column(1).to_pylist()
+            hashes = np.frombuffer(b"".join(blobs), np.uint64)
+            row = np.repeat(batch.column(0).to_numpy(zero_copy_only=False), [len(x) // 8 for x in blobs])
+            yield from _deal(parts, hashes, row, np.ones(len(row), np.int64))
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n = batch.column(1).to_numpy(zero_copy_only=False)
+            yield from _deal(parts, _hashes(batch.column(0).to_pylist()), np.full(len(n), -1), n)
+
+    kinds = "p int, word binary, row binary, n binary"
+    packed = d.select("_row", "rare").mapInArrow(used, kinds).union(frequent.table.select("word", "n").mapInArrow(counted, kinds))
+    shares = packed.repartition(parts, "p").mapInArrow(_shares, "_row long, shares double").groupBy("_row").agg(F.sum("shares").alias("shares"))
+    d = d.drop("rare").join(shares, "_row", "left")
+    d = d.select("doc_id", "n_tokens", (F.col("likelihood") + F.coalesce("shares", F.lit(0.0))).alias("log_likelihood"))
     return d.withColumn("mean_log_likelihood", F.when(F.col("n_tokens") > 0, F.col("log_likelihood") / F.col("n_tokens")))
 
 

@@ -1,11 +1,13 @@
 """Whole operators on a small table with nulls, repeats and clashing columns."""
 
 import hashlib
+import math
 import random
 import re
 import unicodedata
 from collections import Counter, defaultdict
 
+import numpy as np
 import pytest
 
 from mizan.llm import bpe, fingerprint, html_text, jaccard, mixing, pseudolikelihood, quality, sharding, spans
@@ -129,6 +131,37 @@ def test_pseudo_likelihood(docs, rows):
     assert all(r["log_likelihood"] < 0 for r in got.values() if r["n_tokens"])
 
 
+def test_pseudo_likelihood_predicts_every_word(spark):
+    rng = random.Random(3)
+    often = [f"w{i}" for i in range(1500)]
+    lone = {"rare0": 3, "rare1": 1, "rare2": 7}
+    bag = often * 12 + [w for w, n in lone.items() for _ in range(n)]
+    rng.shuffle(bag)
+    rows = [(i // 100, " ".join(bag[i : i + 100])) for i in range(0, len(bag), 100)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    known = pseudolikelihood.vocabulary(df.select("text"))
+    # All words that occur often have their own parameters, not 960 of them.
+    assert set(known) == set(often) and known.rest.sum() == 11
+    flat = pseudolikelihood.train(df.select("text"), known)
+    # With one word in a text, the probabilities of all words sum to 1.
+    probe = [*often, *lone, "unseen"]
+    got = {r["doc_id"]: r["log_likelihood"] for r in pseudolikelihood.score(spark.createDataFrame(list(enumerate(probe)), "doc_id long, text string"), flat, known).collect()}
+    chance = {w: math.exp(got[i]) for i, w in enumerate(probe)}
+    tokens = pseudolikelihood.Tokens(list(known))
+    p, tail = pseudolikelihood.unpack(flat), pseudolikelihood.Tail(*known.parts()).load(flat)
+    ids = np.array([0, 0, 1, 0, 0], np.int32)
+    other = {}
+    for b in range(pseudolikelihood.RARE + 1):  # 0 is the edge
+        ids[2] = b
+        other[b] = math.exp(pseudolikelihood.log_probabilities(p, ids, np.array([2]), tail)[0])
+    assert abs(sum(chance[w] for w in often) + sum(other.values()) - 1) < 1e-3
+    for w, n in lone.items():
+        total = known.rest[tokens[w] - 1]
+        assert abs(chance[w] - other[tokens[w]] * n / (total + 1)) < 1e-6
+    total = known.rest[tokens["unseen"] - 1]
+    assert abs(chance["unseen"] - other[tokens["unseen"]] / (total + 1)) < 1e-6
+
+
 @pytest.mark.parametrize("op", [quality.score_quality, sharding.shard, fingerprint.compare_edited, jaccard.join, spans.remove_repeats, mixing.mix])
 def test_empty_tables(spark, op):
     assert op(spark.createDataFrame([], "doc_id long, text string, source string")).collect() == []
