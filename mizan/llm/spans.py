@@ -98,6 +98,8 @@ def _emit(parts: int):
                 continue
             order = np.lexsort((a, mark, doc, code))
             code, doc, mark, a, b = (x[order] for x in (code, doc, mark, a, b))
+            once = ~_same(code, doc, mark, a)
+            code, doc, mark, a, b = (x[once] for x in (code, doc, mark, a, b))
             later = np.concatenate([[False], code[1:] == code[:-1]])
             part = (mix(code) % _U(parts)).astype(np.int64)
             order = np.argsort(part, kind="stable")
@@ -110,6 +112,12 @@ def _emit(parts: int):
     return run
 
 
+def _same(*columns: np.ndarray) -> np.ndarray:
+    """Which of the sorted rows equal the one before: the same place of a
+    document that has several rows."""
+    return np.concatenate([[False], np.logical_and.reduce([x[1:] == x[:-1] for x in columns])])
+
+
 _KINDS = (_U, np.int64, np.int64, np.int32, np.int32, np.bool_)
 
 
@@ -122,8 +130,11 @@ def _repeats(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     while by_part:
         _, parts = by_part.popitem()
         code, doc, mark, a, b, later = (np.concatenate(x) for x in zip(*parts))
-        order = np.lexsort((a, mark, doc, code))
+        # Of equal places, one that is the first of its batch may not be so here.
+        order = np.lexsort((~later, a, mark, doc, code))
         code, doc, mark, a, b, later = (x[order] for x in (code, doc, mark, a, b, later))
+        once = ~_same(code, doc, mark, a)
+        code, doc, mark, a, b, later = (x[once] for x in (code, doc, mark, a, b, later))
         again = later | np.concatenate([[False], code[1:] == code[:-1]])
         if again.any():
             yield pa.record_batch([pa.array(x[again]) for x in (doc, mark, a, b)], ["doc_id", "mark", "a", "b"])

@@ -104,6 +104,18 @@ def test_spans(docs, rows):
     assert texts[40][0] != before[40] or len(words(before[40])) < 24
 
 
+def test_spans_keep_the_first_of_repeated_rows(spark):
+    rng = random.Random(5)
+    text = " ".join(f"v{rng.randrange(900)}" + rng.choice(["", "", "", ","]) for _ in range(100))
+    for ids in ((7, 7, 7), (None, None, None), (7, 7, 9)):
+        df = spark.createDataFrame([(i, text) for i in ids], "doc_id long, text string")
+        for parts in (1, 3):
+            got = spans.remove_repeats(df.repartition(parts)).collect()
+            kept = [r["text"] for r in got if r["doc_id"] != 9]
+            assert kept == [text] * len(kept) and len(got) == 3
+            assert all(len(words(r["text"])) < 50 for r in got if r["doc_id"] == 9)
+
+
 def test_mixing(docs, rows):
     got = mixing.mix(docs).collect()
     again = {(r["doc_id"], r["taken"]) for r in mixing.mix(docs).collect()}
