@@ -1,11 +1,14 @@
 """Removal of repeated passages by sliding spans of sentences.
 
 A sentence here is a clause: it ends with a word that ends in a mark of MARKS,
-at a line break, between equal words, or after a word that a hash picks (one
-in CUT), so that a passage taken from the middle of a sentence, or without punctuation, still
-falls into units that its copies share. From each one on, the shortest run of
-two or more with MIN_WORDS words is hashed, and so is each of ALONE words or
-more. All hashes meet in one join over all documents. The first place of a hash, by doc_id and position,
+at a line break, between equal words, or after a word whose hash is the least
+of any WINDOW words in a row. So every WINDOW words hold an end, with or
+without punctuation, and those farther than WINDOW from the edges of a passage
+are the same in all its copies, wherever they stand. From each clause on, and
+back from each, the shortest run of two or more with MIN_WORDS words is hashed,
+and so is each clause of ALONE words or more. With these numbers any 51 words
+hold a run that all copies share; up to 2 * WINDOW - 1 words at each edge of a
+passage may stay. All hashes meet in one join over all documents. The first place of a hash, by doc_id and position,
 keeps its sentences; sentences that any other place covers are removed.
 
 A batch forwards one place for each hash: its later ones are not the first
@@ -30,7 +33,7 @@ from pyspark.sql import functions as F
 from mizan.llm.common import documents, maybe_broadcast, written
 from mizan.llm.textkit import _power_tables, chunks, mix, word_hashes, words
 
-MIN_WORDS, ALONE, CUT, MARKS = 24, 40, 16, b".!?,;:"
+MIN_WORDS, ALONE, WINDOW, MARKS = 24, 40, 7, b".!?,;:"
 TASK_RUNS = 2_000_000
 _U = np.uint64
 _MARK = np.zeros(256, bool)
@@ -44,7 +47,12 @@ def sentences(data: np.ndarray, start: np.ndarray, end: np.ndarray, hashes: np.n
     if not n:
         return np.zeros(0, np.int64)
     lines = np.concatenate([[0], np.cumsum(data == 10)])
-    stop = _MARK[data[end - 1]] | ((hashes >> _U(9)) % _U(CUT) == 0)
+    stop = _MARK[data[end - 1]]
+    if n >= WINDOW:
+        at = np.arange(n - WINDOW + 1)
+        text = np.searchsorted(bounds, np.arange(n), "right")
+        least = at + WINDOW - 1 - np.lib.stride_tricks.sliding_window_view(mix(hashes)[::-1], WINDOW)[::-1].argmin(1)
+        stop[least[text[at] == text[at + WINDOW - 1]]] = True
     stop[:-1] |= (lines[start[1:]] != lines[end[:-1]]) | (hashes[1:] == hashes[:-1])
     begins = np.zeros(n + 1, bool)
     begins[1:] = stop
@@ -63,8 +71,14 @@ def runs(first: np.ndarray, hashes: np.ndarray, bounds: np.ndarray) -> tuple[np.
     j = np.maximum(i + 2, np.searchsorted(edges, first + MIN_WORDS, "left"))
     ok = (j <= m) & (edges[np.minimum(j, m)] <= text_end)
     alone = np.diff(edges) >= ALONE
-    a = np.concatenate([i[ok], i[alone]])
-    b = np.concatenate([j[ok], i[alone] + 1])
+    # Backwards, from each end of a sentence.
+    k = np.arange(1, m + 1)
+    from_ = np.minimum(k - 2, np.searchsorted(edges, edges[k] - MIN_WORDS, "right") - 1)
+    begin = bounds[np.searchsorted(bounds, edges[k] - 1, "right") - 1]
+    back = (from_ >= 0) & (edges[np.maximum(from_, 0)] >= begin)
+    a = np.concatenate([i[ok], from_[back], i[alone]])
+    b = np.concatenate([j[ok], k[back], i[alone] + 1])
+    a, b = np.divmod(np.unique(a * (m + 1) + b), m + 1)
     power, inverse = _power_tables(n + 1)
     total = np.zeros(n + 1, _U)
     np.cumsum(hashes * power[:n], out=total[1:])
@@ -102,7 +116,7 @@ def _emit(parts: int):
             code, doc, mark, a, b = (x[once] for x in (code, doc, mark, a, b))
             later = np.concatenate([[False], code[1:] == code[:-1]])
             part = (mix(code) % _U(parts)).astype(np.int64)
-            order = np.argsort(part, kind="stable")
+            order = np.lexsort((a, mark, doc, part))  # by document, for compression
             code, doc, mark, a, b, later, part = (x[order] for x in (code, doc, mark, a, b, later, part))
             at = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]]))
             for s, e in zip(at, np.append(at[1:], len(part))):

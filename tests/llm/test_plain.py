@@ -141,3 +141,23 @@ def test_sentences_cover_all_words():
     text = pa.array(["A b c. D e, f!\nG h", "", None, "x"], pa.string())
     (row, _, offsets, start, bounds, first, _), = spans._layout(text)
     assert row == 0 and bounds.tolist() == [0, 8, 8, 8, 9] and {0, 3, 5, 6, 8} <= set(first.tolist())
+
+
+def test_passages_at_any_offset_share_a_run():
+    rng = random.Random(4)
+    for marks in (["", "", "", "", ".", ","], [""]):
+        make = lambda n, m=marks: [f"w{rng.randrange(5000)}" + rng.choice(m) for _ in range(n)]
+        gone = []
+        for _ in range(400):
+            passage, found = make(51), []
+            before = rng.randrange(60), rng.randrange(60)
+            texts = pa.array([" ".join(make(n) + passage + make(rng.randrange(60))) for n in before], pa.string())
+            (_, _, _, _, bounds, first, h), = spans._layout(texts)
+            code, a, b = spans.runs(first, h, bounds)
+            edges, cover = np.append(first, len(h)), np.zeros(51, bool)
+            shared = np.intersect1d(code[edges[a] < bounds[1]], code[edges[a] >= bounds[1]])
+            for i in np.flatnonzero(np.isin(code, shared) & (edges[a] < bounds[1])):
+                assert edges[a[i]] >= before[0] and edges[b[i]] <= before[0] + 51
+                cover[edges[a[i]] - before[0] : edges[b[i]] - before[0]] = True
+            gone.append(int(cover.sum()))
+        assert min(gone) >= spans.MIN_WORDS and sum(gone) / len(gone) > 0.85 * 51, (min(gone), sum(gone) / len(gone))
