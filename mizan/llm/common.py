@@ -4,8 +4,10 @@ distributed ranking and text column guards."""
 from __future__ import annotations
 
 import atexit
+import functools
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -18,14 +20,19 @@ WORD = r"[^\x20\x09-\x0D]+"
 RANK_ROWS, RANK_BUCKETS = 1024, 65536
 
 _FALLBACK: list[str] = []
+#: Scratch tables of the operators that run now, the innermost last.
+_SCOPES: list[list[str]] = []
 
-
-#: Rows of an Arrow batch: long texts keep the Python workers' memory small.
-ARROW_ROWS = 1024
+#: Rows and bytes of an Arrow batch, so that long texts keep the Python workers'
+#: memory small. A session that sets them itself keeps its own.
+ARROW = {"spark.sql.execution.arrow.maxRecordsPerBatch": "1024", "spark.sql.execution.arrow.maxBytesPerBatch": str(16 << 20)}
 
 
 def small_batches(spark: SparkSession) -> None:
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
+    conf = spark._jsparkSession.sessionState().conf()
+    for key, value in ARROW.items():
+        if not conf.contains(key):
+            spark.conf.set(key, value)
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -51,15 +58,43 @@ def written(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as a Parquet table in the shared folder and read it back.
 
     This cuts the lineage, so a lost executor costs only the reading of the
-    table; the table goes when the process ends.
+    table; the table goes when the innermost ``scoped`` operator returns, and
+    outside of any when the process ends.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/mizan-{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    atexit.register(_forget, spark, path)
+    if _SCOPES:
+        _SCOPES[-1].append(path)
+    else:
+        atexit.register(_forget, spark, path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def scoped(operator: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
+    """An operator whose result is written before it returns, and whose scratch
+    tables go then. A later job reads the written result, so lost executors
+    still cost no more than the reading."""
+
+    @functools.wraps(operator)
+    def run(*args, **kwargs) -> DataFrame:
+        _SCOPES.append([])
+        spark, result, paths = None, None, []
+        try:
+            result = operator(*args, **kwargs)
+            spark = result.sparkSession
+            paths = _SCOPES.pop()
+            return written(result, operator.__name__.strip("_"))
+        finally:
+            if result is None:
+                paths = _SCOPES.pop()
+                spark = SparkSession.getActiveSession()
+            for path in paths if spark is not None else []:
+                _forget(spark, path)
+
+    return run
+
+
 def _forget(spark: SparkSession, path: str) -> None:
     try:
         jvm = spark.sparkContext._jvm
