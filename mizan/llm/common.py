@@ -136,19 +136,12 @@ def word_count(text: Column) -> Column:
     return F.length(F.regexp_replace(F.trim(text, F.lit(blanks)), r"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+", "x")).cast("long")
 
 
-#: Rows of a narrow table that may be broadcast.
-BROADCAST_ROWS = 200_000
+#: Rows of a written table that may be broadcast, and bytes of its files.
+BROADCAST_ROWS, BROADCAST_BYTES = 200_000, 8 << 20
 
 
 def maybe_broadcast(table: DataFrame) -> DataFrame:
-    """``table`` (written, narrow) marked for broadcast if its counted rows are
-    within BROADCAST_ROWS; else as it is, for a join by shuffle."""
-    return F.broadcast(table) if table.count() <= BROADCAST_ROWS else table
-
-
-def numbered_repeats(docs: DataFrame, key: str, out: str) -> DataFrame:
-    """``docs`` with the number (from 1) of each row among those of equal
-    ``key``. Rows are only brought together if some key repeats."""
-    if docs.groupBy(key).count().where("count > 1").isEmpty():
-        return docs.withColumn(out, F.lit(1))
-    return docs.withColumn(out, F.row_number().over(Window.partitionBy(key).orderBy(F.xxhash64("text"))))
+    """``table`` (written) marked for broadcast if its counted rows and the bytes
+    of its files are within limits; else as it is, for a join by shuffle."""
+    size = int(str(table._jdf.queryExecution().analyzed().stats().sizeInBytes()))
+    return F.broadcast(table) if size <= BROADCAST_BYTES and table.count() <= BROADCAST_ROWS else table

@@ -1,19 +1,27 @@
 """Removal of repeated passages by sliding spans of sentences.
 
-A sentence here is a clause: it ends with a word that ends in a mark of MARKS,
-at a line break, between equal words, or after a word whose hash is the least
-of any WINDOW words in a row. So every WINDOW words hold an end, with or
-without punctuation, and those farther than WINDOW from the edges of a passage
-are the same in all its copies, wherever they stand. From each clause on, and
-back from each, the shortest run of two or more with MIN_WORDS words is hashed,
-and so is each clause of ALONE words or more. With these numbers any 51 words
-hold a run that all copies share; up to 2 * WINDOW - 1 words at each edge of a
-passage may stay. All hashes meet in one join over all documents. The first place of a hash, by doc_id and position,
-keeps its sentences; sentences that any other place covers are removed.
-
-A batch forwards one place for each hash: its later ones are not the first
-wherever the first may be. So a passage that a third of all rows share brings
-one entry for each batch to the task that owns its hash.
+A sentence ends with a word that ends in a mark of STOPS, or at a line break.
+Every run of two consecutive sentences is hashed, of any length; longer runs
+consist of these. So that passages cut in mid-sentence are found as well,
+sentences consist of clauses, whose runs are hashed, too: a clause ends with a
+word that ends in a mark of MARKS, between equal words, or after a word whose
+hash is the least of any WINDOW words in a row. So every WINDOW words hold an
+end, with or without punctuation, and those farther than WINDOW from the edges
+of a passage are the same in all its copies, wherever they stand. From each
+clause on, and back from each, the shortest run of two or more clauses with
+MIN_WORDS words is hashed, and so is each clause of ALONE words or more. With
+these numbers any 51 words hold a run that all copies share; up to
+2 * WINDOW - 1 words at each edge of a passage may stay. All hashes meet in one
+join over all documents. The first place of a hash, by doc_id and position,
+keeps its clauses; clauses that any other place covers are removed.
+
+Runs are equal if 96 bits of two independent hashes of their words are, so that
+even of 10 ** 12 runs two different ones agree with a chance of about 10 ** -5.
+
+Only one place of a hash in each batch goes to the task that owns the hash; its
+later ones there are not the first wherever the first may be, and are dealt out
+by document. So a passage that a third of all rows share brings one entry for
+each batch to its owner.
 
 Defined results: null and empty texts stay as they are; rows equal in doc_id
 and text are the same document and treated alike; a text whose sentences are
@@ -30,69 +38,81 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mizan.llm.common import documents, maybe_broadcast, written
+from mizan.llm.common import documents, maybe_broadcast, scoped, written
 from mizan.llm.textkit import _power_tables, chunks, mix, word_hashes, words
 
-MIN_WORDS, ALONE, WINDOW, MARKS = 24, 40, 7, b".!?,;:"
+MIN_WORDS, ALONE, WINDOW, MARKS, STOPS = 24, 40, 7, b".!?,;:", b".!?"
 TASK_RUNS = 2_000_000
 _U = np.uint64
 _MARK = np.zeros(256, bool)
 _MARK[list(MARKS)] = True
+_STOP = np.zeros(256, bool)
+_STOP[list(STOPS)] = True
 
 
-def sentences(data: np.ndarray, start: np.ndarray, end: np.ndarray, hashes: np.ndarray, bounds: np.ndarray) -> np.ndarray:
-    """Numbers of the words that begin a sentence, in order, over all texts.
-    ``bounds``: number of each text's first word."""
+def sentences(data: np.ndarray, start: np.ndarray, end: np.ndarray, hashes: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Numbers of the words that begin a clause, in order, over all texts, and
+    which of them begin a sentence. ``bounds``: number of each text's first word."""
     n = len(start)
     if not n:
-        return np.zeros(0, np.int64)
+        return np.zeros(0, np.int64), np.zeros(0, bool)
     lines = np.concatenate([[0], np.cumsum(data == 10)])
-    stop = _MARK[data[end - 1]]
+    full, stop = _STOP[data[end - 1]], _MARK[data[end - 1]]
     if n >= WINDOW:
         at = np.arange(n - WINDOW + 1)
         text = np.searchsorted(bounds, np.arange(n), "right")
         least = at + WINDOW - 1 - np.lib.stride_tricks.sliding_window_view(mix(hashes)[::-1], WINDOW)[::-1].argmin(1)
         stop[least[text[at] == text[at + WINDOW - 1]]] = True
-    stop[:-1] |= (lines[start[1:]] != lines[end[:-1]]) | (hashes[1:] == hashes[:-1])
-    begins = np.zeros(n + 1, bool)
-    begins[1:] = stop
-    begins[bounds] = True
-    return np.flatnonzero(begins[:n])
-
-
-def runs(first: np.ndarray, hashes: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Hash, first sentence and the sentence after the last of each run."""
+    full[:-1] |= lines[start[1:]] != lines[end[:-1]]
+    stop |= full
+    stop[:-1] |= hashes[1:] == hashes[:-1]
+    begins = np.zeros((2, n + 1), bool)
+    begins[:, 1:] = stop, full
+    begins[:, bounds] = True
+    first = np.flatnonzero(begins[0, :n])
+    return first, begins[1, first]
+
+
+def runs(first: np.ndarray, full: np.ndarray, hashes: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Two hashes, first clause and the clause after the last of each run."""
     m, n = len(first), len(hashes)
     if not m:
-        return np.zeros(0, _U), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        return np.zeros(0, _U), np.zeros(0, np.uint32), np.zeros(0, np.int64), np.zeros(0, np.int64)
     edges = np.append(first, n)
     i = np.arange(m)
     text_end = bounds[np.searchsorted(bounds, first, "right")]  # the word after the text
     j = np.maximum(i + 2, np.searchsorted(edges, first + MIN_WORDS, "left"))
     ok = (j <= m) & (edges[np.minimum(j, m)] <= text_end)
     alone = np.diff(edges) >= ALONE
-    # Backwards, from each end of a sentence.
+    # Two sentences, wherever they begin.
+    two = np.flatnonzero(full)
+    after = np.append(two, [m, m])[2 : len(two) + 2]
+    pair = edges[after] <= text_end[two]
+    pair[-1:] = False  # a text's last sentence has no other after it
+    # Backwards, from each end of a clause.
     k = np.arange(1, m + 1)
     from_ = np.minimum(k - 2, np.searchsorted(edges, edges[k] - MIN_WORDS, "right") - 1)
     begin = bounds[np.searchsorted(bounds, edges[k] - 1, "right") - 1]
     back = (from_ >= 0) & (edges[np.maximum(from_, 0)] >= begin)
-    a = np.concatenate([i[ok], from_[back], i[alone]])
-    b = np.concatenate([j[ok], k[back], i[alone] + 1])
+    a = np.concatenate([i[ok], from_[back], i[alone], two[pair]])
+    b = np.concatenate([j[ok], k[back], i[alone] + 1, after[pair]])
     a, b = np.divmod(np.unique(a * (m + 1) + b), m + 1)
     power, inverse = _power_tables(n + 1)
     total = np.zeros(n + 1, _U)
     np.cumsum(hashes * power[:n], out=total[1:])
     h = (total[edges[b]] - total[edges[a]]) * inverse[edges[a]]
-    return mix(h + (edges[b] - edges[a]).astype(_U)), a, b
+    np.cumsum(mix(hashes) * power[:n], out=total[1:])
+    other = (total[edges[b]] - total[edges[a]]) * inverse[edges[a]]
+    return mix(h + (edges[b] - edges[a]).astype(_U)), (mix(other) >> _U(32)).astype(np.uint32), a, b
 
 
 def _layout(texts: pa.Array) -> Iterator[tuple]:
     """For each chunk of texts: first row, offsets, word starts, each text's
-    first word, sentence starts, word hashes."""
+    first word, clause starts, which of them begin a sentence, word hashes."""
     for row, data, offsets in chunks(texts):
         start, end, bounds = words(data, offsets)
         h = word_hashes(data, start, end, lower=False)
-        yield row, data, offsets, start, bounds, sentences(data, start, end, h, bounds), h
+        yield row, data, offsets, start, bounds, *sentences(data, start, end, h, bounds), h
 
 
 def _emit(parts: int):
@@ -100,68 +120,78 @@ def _emit(parts: int):
         for batch in batches:
             ids, marks = batch.column(0).to_numpy(zero_copy_only=False), batch.column(1).to_numpy(zero_copy_only=False)
             held = []
-            for row, _, _, _, bounds, first, h in _layout(batch.column(2)):
-                code, a, b = runs(first, h, bounds)
+            for row, _, _, _, bounds, first, full, h in _layout(batch.column(2)):
+                code, other, a, b = runs(first, full, h, bounds)
                 text = np.searchsorted(bounds, first[a], "right") - 1 if len(a) else a
                 begin = np.searchsorted(first, bounds[text], "left") if len(a) else a
-                held.append((code, ids[row + text], marks[row + text], a - begin, b - begin))
+                held.append((code, other, ids[row + text], marks[row + text], (a - begin).astype(np.int32), (b - begin).astype(np.int32)))
             if not held:
                 continue
-            code, doc, mark, a, b = (np.concatenate(x) for x in zip(*held))
-            if not len(code):
+            columns = [np.concatenate(x) for x in zip(*held)]
+            if not len(columns[0]):
                 continue
-            order = np.lexsort((a, mark, doc, code))
-            code, doc, mark, a, b = (x[order] for x in (code, doc, mark, a, b))
-            once = ~_same(code, doc, mark, a)
-            code, doc, mark, a, b = (x[once] for x in (code, doc, mark, a, b))
-            later = np.concatenate([[False], code[1:] == code[:-1]])
-            part = (mix(code) % _U(parts)).astype(np.int64)
-            order = np.lexsort((a, mark, doc, part))  # by document, for compression
-            code, doc, mark, a, b, later, part = (x[order] for x in (code, doc, mark, a, b, later, part))
+            columns = _sorted(columns)
+            columns = _taken(columns, ~_same(columns[:5]))
+            later = _same(columns[:2])
+            code, doc = columns[0], columns[2]
+            part = (mix(np.where(later, doc.view(_U), code)) % _U(parts)).astype(np.int64)
+            order = np.lexsort((columns[4], columns[3], doc, part))  # by document, for compression
+            *columns, later, part = _taken([*columns, later, part], order)
             at = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]]))
             for s, e in zip(at, np.append(at[1:], len(part))):
-                packed = [code[s:e], doc[s:e], mark[s:e], a[s:e].astype(np.int32), b[s:e].astype(np.int32), later[s:e]]
-                yield pa.record_batch([pa.array([int(part[s])], pa.int32()), *(pa.array([x.tobytes()], pa.binary()) for x in packed)], ["p", "code", "doc", "mark", "a", "b", "later"])
+                yield pa.record_batch([pa.array([int(part[s])], pa.int32()), *(pa.array([x[s:e].tobytes()], pa.binary()) for x in (*columns, later))], ["p", "code", "other", "doc", "mark", "a", "b", "later"])
 
     return run
 
 
-def _same(*columns: np.ndarray) -> np.ndarray:
-    """Which of the sorted rows equal the one before: the same place of a
-    document that has several rows."""
+def _taken(columns: list[np.ndarray], which: np.ndarray) -> list[np.ndarray]:
+    return [x[which] for x in columns]
+
+
+def _sorted(columns: list[np.ndarray]) -> list[np.ndarray]:
+    """By the hashes, document, hash of its text and position."""
+    return _taken(columns, np.lexsort(columns[4::-1]))
+
+
+def _same(columns: list[np.ndarray]) -> np.ndarray:
+    """Which of the sorted rows equal the one before."""
     return np.concatenate([[False], np.logical_and.reduce([x[1:] == x[:-1] for x in columns])])
 
 
-_KINDS = (_U, np.int64, np.int64, np.int32, np.int32, np.bool_)
+_KINDS = (_U, np.uint32, np.int64, np.int64, np.int32, np.int32, np.bool_)
 
 
 def _repeats(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Places of runs that are not the first of their hash."""
+
+    def out(columns: list[np.ndarray]) -> pa.RecordBatch:
+        return pa.record_batch([pa.array(x) for x in columns[2:6]], ["doc_id", "mark", "a", "b"])
+
     by_part: dict[int, list] = {}
     for batch in batches:
         for p, *blobs in zip(*(c.to_pylist() for c in batch.columns)):
-            by_part.setdefault(p, []).append([np.frombuffer(x, k) for x, k in zip(blobs, _KINDS)])
+            *columns, later = [np.frombuffer(x, k) for x, k in zip(blobs, _KINDS)]
+            if later.any():
+                yield out(_taken(columns, later))
+            by_part.setdefault(p, []).append(_taken(columns, ~later))
     while by_part:
         _, parts = by_part.popitem()
-        code, doc, mark, a, b, later = (np.concatenate(x) for x in zip(*parts))
-        # Of equal places, one that is the first of its batch may not be so here.
-        order = np.lexsort((~later, a, mark, doc, code))
-        code, doc, mark, a, b, later = (x[order] for x in (code, doc, mark, a, b, later))
-        once = ~_same(code, doc, mark, a)
-        code, doc, mark, a, b, later = (x[once] for x in (code, doc, mark, a, b, later))
-        again = later | np.concatenate([[False], code[1:] == code[:-1]])
+        columns = _sorted([np.concatenate(x) for x in zip(*parts)])
+        columns = _taken(columns, ~_same(columns[:5]))
+        again = _same(columns[:2])
         if again.any():
-            yield pa.record_batch([pa.array(x[again]) for x in (doc, mark, a, b)], ["doc_id", "mark", "a", "b"])
+            yield out(_taken(columns, again))
 
 
+@scoped
 def repeated(docs: DataFrame) -> DataFrame:
-    """doc_id, mark (a hash of the text) and spans (struct of sentence numbers
-    a, b) of each document that has sentences to remove."""
+    """doc_id, mark (a hash of the text) and spans (struct of clause numbers
+    a, b) of each document that has clauses to remove."""
     spark = docs.sparkSession
     base = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))).alias("doc_id"), F.xxhash64("text").alias("mark"), F.col("text").cast("string").alias("text"))
     size = docs.select(F.sum(F.length("text"))).first()[0] or 0
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), size // 40 // TASK_RUNS + 1)
-    packed = base.mapInArrow(_emit(parts), "p int, code binary, doc binary, mark binary, a binary, b binary, later binary")
+    packed = base.mapInArrow(_emit(parts), "p int, code binary, other binary, doc binary, mark binary, a binary, b binary, later binary")
     found = packed.repartition(parts, "p").mapInArrow(_repeats, "doc_id long, mark long, a int, b int")
     kind = "array<struct<a:int,b:int>>"
 
@@ -181,7 +211,7 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         spans = batch.column(1).to_pylist()
         texts, total, gone, lost = [], [], [], []
-        for row, data, offsets, start, bounds, first, _ in _layout(batch.column(0)):
+        for row, data, offsets, start, bounds, first, _, _ in _layout(batch.column(0)):
             from_ = np.searchsorted(first, bounds)
             for t in range(len(offsets) - 1):
                 mine = first[from_[t] : from_[t + 1]]
@@ -210,8 +240,7 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def remove_repeats(docs: DataFrame) -> DataFrame:
     """The documents, with ``text`` cut, and n_sentences, n_removed and
     words_removed. A null text stays null."""
-    spans = written(repeated(docs), "repeats")
-    spans = maybe_broadcast(spans)
+    spans = maybe_broadcast(repeated(docs))
     names = [c for c in docs.columns if c != "text"]
     plain = docs.select(F.col("text").cast("string").alias("_t"), *[F.col(c).alias(f"_c{i}") for i, c in enumerate(names)])
     at = names.index("doc_id")

@@ -139,7 +139,7 @@ def test_estimation_follows_agreement():
 
 def test_sentences_cover_all_words():
     text = pa.array(["A b c. D e, f!\nG h", "", None, "x"], pa.string())
-    (row, _, offsets, start, bounds, first, _), = spans._layout(text)
+    (row, _, offsets, start, bounds, first, _, _), = spans._layout(text)
     assert row == 0 and bounds.tolist() == [0, 8, 8, 8, 9] and {0, 3, 5, 6, 8} <= set(first.tolist())
 
 
@@ -152,8 +152,8 @@ def test_passages_at_any_offset_share_a_run():
             passage, found = make(51), []
             before = rng.randrange(60), rng.randrange(60)
             texts = pa.array([" ".join(make(n) + passage + make(rng.randrange(60))) for n in before], pa.string())
-            (_, _, _, _, bounds, first, h), = spans._layout(texts)
-            code, a, b = spans.runs(first, h, bounds)
+            (_, _, _, _, bounds, first, full, h), = spans._layout(texts)
+            code, _, a, b = spans.runs(first, full, h, bounds)
             edges, cover = np.append(first, len(h)), np.zeros(51, bool)
             shared = np.intersect1d(code[edges[a] < bounds[1]], code[edges[a] >= bounds[1]])
             for i in np.flatnonzero(np.isin(code, shared) & (edges[a] < bounds[1])):
