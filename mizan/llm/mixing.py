@@ -8,13 +8,15 @@ of each document stay at its rate, and the words that a source gives stay the
 same up to the last, single fraction. Groups of rows are reduced in parallel;
 what is left of each (one row) meets in the next level of a reduction tree.
 
-Randomness comes from hashes of doc_id and a seed, so reruns agree.
+Randomness comes from hashes of source, doc_id, text and a seed, and rows equal
+in these three are interchangeable, so reruns agree, in whatever order the rows
+come.
 
 Defined results: null texts count as empty, and empty ones take nothing; a
 null source is a source, the last one; a source without words has target 0;
-repeated doc_ids are rounded as rows of their own, told apart by a row number
-among rows with the same id and size; an empty table gives an empty result;
-further input columns are ignored.
+repeated doc_ids are rounded as rows of their own; rows equal in source, doc_id
+and text are counted first and numbered then; an empty table gives an empty
+result; further input columns are ignored.
 """
 
 from __future__ import annotations
@@ -22,17 +24,20 @@ from __future__ import annotations
 import hashlib
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mizan.llm.common import documents, maybe_broadcast, numbered_repeats, text_or_empty, word_count, written
+from mizan.llm.common import documents, maybe_broadcast, scoped, slots, text_or_empty, word_count, written
 
 #: Weights of the sources in code-point order, repeating, and the most copies.
 WEIGHTS, MOST = (5, 2, 1), 3
 #: Rows that one task reduces, and residuals that meet in one node of the tree.
 GROUP_ROWS, FAN_IN = 2048, 64
+#: Equal rows that are numbered at once.
+RUN = 4096
 
-_PAIR = "source string, doc_id long, nth int, size long, low long, p double, node long, top boolean"
+_PAIR = "source string, doc_id long, mark long, nth long, size long, low long, p double, node long, top boolean"
+_SAME = ["source", "doc_id", "mark"]
 
 
 def targets(sizes: list[tuple[str | None, int]]) -> dict[str | None, float]:
@@ -114,8 +119,8 @@ def pivot(rows: list[list], seed: str) -> None:
 
 def _reduce(pdf: pd.DataFrame) -> pd.DataFrame:
     # Large documents first: the last fraction is then a small one's.
-    pdf = pdf.sort_values(["size", "doc_id", "nth"], ascending=[False, True, True], kind="stable", na_position="last")
-    rows = [[s, p, f"{d}/{n}"] for s, p, d, n in zip(pdf["size"], pdf["p"], pdf["doc_id"], pdf["nth"])]
+    pdf = pdf.sort_values(["size", "doc_id", "mark", "nth"], ascending=[False, True, True, True], kind="stable", na_position="last")
+    rows = [[s, p, f"{o}/{d}/{m}/{n}"] for o, s, p, d, m, n in zip(*(pdf[c] for c in ("source", "size", "p", "doc_id", "mark", "nth")))]
     pivot(rows, "mix")
     p = [r[1] for r in rows]
     if bool(pdf["top"].iloc[0]):
@@ -123,14 +128,28 @@ def _reduce(pdf: pd.DataFrame) -> pd.DataFrame:
     return pdf.assign(p=p)
 
 
-def mix(docs: DataFrame) -> DataFrame:
-    """Per document: size, its source's size and target, copies and words taken."""
-    d = docs.select("source", "doc_id", word_count(text_or_empty()).alias("size"))
-    d = written(d.select(F.col("source").cast("string").alias("source"), F.col("doc_id").cast("long").alias("doc_id"), "size"), "sizes")
+def _numbered(d: DataFrame) -> DataFrame:
+    """A row for each document again, with its number ``nth`` among equal ones.
+    ``d`` has each different document once and how many are equal, ``n``; a
+    large group is dealt out in runs before it is unfolded."""
+    runs = d.withColumn("_run", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("n") - 1) / RUN))))
+    if (d.agg(F.max("n")).first()[0] or 0) > RUN:
+        runs = runs.repartition("doc_id", "mark", "_run")
+    first = F.col("_run") * RUN
+    return runs.withColumn("nth", F.explode(F.sequence(first, F.least(first + RUN, F.col("n")) - 1))).drop("_run", "n")
+
+
+@scoped
+def rounded(docs: DataFrame) -> DataFrame:
+    """source, doc_id, mark (a hash of the text), nth, size, source_size, target,
+    copies and taken of each row."""
+    d = docs.select(F.col("source").cast("string").alias("source"), F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text_or_empty()).alias("mark"), word_count(text_or_empty()).alias("size"))
+    # Equal rows merge before the shuffle.
+    d = written(d.groupBy(*_SAME, "size").agg(F.count(F.lit(1)).alias("n")), "sizes")
     # One row for each source; sources are names, not documents.
-    by_source = {r["source"]: (r["size"], r["n"]) for r in d.groupBy("source").agg(F.sum("size").alias("size"), F.count(F.lit(1)).alias("n")).collect()}
+    by_source = {r["source"]: (r["size"], r["n"]) for r in d.groupBy("source").agg(F.sum(F.col("size") * F.col("n")).alias("size"), F.sum("n").alias("n")).collect()}
     if not by_source:
-        return d.select("doc_id", "size", F.lit(0).cast("long").alias("source_size"), F.lit(0.0).alias("target"), F.lit(0).cast("int").alias("copies"), F.lit(0).cast("long").alias("taken"))
+        return d.select(*_SAME, F.col("n").alias("nth"), "size", F.lit(0).cast("long").alias("source_size"), F.lit(0.0).alias("target"), F.lit(0).cast("int").alias("copies"), F.lit(0).cast("long").alias("taken"))
     spark = docs.sparkSession
     goal = targets([(s, n) for s, (n, _) in by_source.items()])
     groups = {s: max(1, -(-n // GROUP_ROWS)) for s, (_, n) in by_source.items()}
@@ -138,13 +157,12 @@ def mix(docs: DataFrame) -> DataFrame:
         [(s, n, goal[s], groups[s]) for s, (n, _) in by_source.items()],
         "s string, source_size long, target double, groups long",
     )
-    rows = d.join(table, F.col("source").eqNullSafe(F.col("s"))).drop("s")
+    rows = _numbered(d).join(table, F.col("source").eqNullSafe(F.col("s"))).drop("s")
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
-    rows = rows.withColumn("nth", F.row_number().over(Window.partitionBy("doc_id", "size").orderBy(F.lit(1))))
     whole = F.floor(rate + 1e-12)
     rows = rows.withColumns({"low": whole.cast("long"), "p": F.when(F.col("size") > 0, F.greatest(rate - whole, F.lit(0.0))).otherwise(0.0)})
-    rows = rows.withColumn("node", F.pmod(F.xxhash64("doc_id", "size", "nth"), F.col("groups")))
-    level = rows.select("source", "doc_id", "nth", "size", "low", "p", "node", (F.col("groups") == 1).alias("top"))
+    rows = rows.withColumn("node", F.pmod(F.xxhash64(*_SAME, "nth"), F.col("groups")))
+    level = rows.select(*_SAME, "nth", "size", "low", "p", "node", (F.col("groups") == 1).alias("top"))
     done, height = [], max(groups.values())
     while True:
         level = written(level.groupBy("source", "node").applyInPandas(_reduce, _PAIR), "pivots")
@@ -158,16 +176,32 @@ def mix(docs: DataFrame) -> DataFrame:
     for more in done[1:]:
         out = out.unionByName(more)
     out = out.join(table, F.col("source").eqNullSafe(F.col("s"))).withColumn("copies", (F.col("low") + F.col("p")).cast("int"))
-    return out.select("doc_id", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).cast("long").alias("taken"))
+    return out.select(*_SAME, "nth", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).cast("long").alias("taken"))
+
+
+def mix(docs: DataFrame) -> DataFrame:
+    """Per document: size, its source's size and target, copies and words taken."""
+    return rounded(docs).select("doc_id", "size", "source_size", "target", "copies", "taken")
 
 
 def take(docs: DataFrame) -> DataFrame:
     """The documents, each as many times as the mix takes it."""
-    counts = mix(docs).groupBy("doc_id").agg(F.sort_array(F.collect_list("copies"), asc=False).alias("_copies"))
-    counts = maybe_broadcast(written(counts.withColumnRenamed("doc_id", "_id"), "copies"))
-    rows = numbered_repeats(docs, "doc_id", "_nth")
-    rows = rows.join(counts, rows["doc_id"].eqNullSafe(counts["_id"]))
-    return rows.withColumn("_copy", F.explode(F.sequence(F.lit(0), F.get("_copies", F.col("_nth") - 1)))).where("_copy > 0").select(*docs.columns)
+    counts = rounded(docs).where("copies > 0").select(*[F.col(c).alias(f"_{c}") for c in (*_SAME, "nth", "copies")])
+    own = [F.col("source").cast("string").alias("_s"), F.col("doc_id").cast("long").alias("_d"), F.xxhash64(text_or_empty()).alias("_m")]
+    rows = docs.select("*", *own)
+    several = written(rows.groupBy("_s", "_d", "_m").count().where("count > 1").select(F.col("_s").alias("_s2"), F.col("_d").alias("_d2"), F.col("_m").alias("_m2")), "several")
+    if several.isEmpty():
+        rows = rows.withColumn("_i", F.lit(0).cast("long"))
+    else:
+        # Numbered without bringing a group of equal rows into one task.
+        same = F.col("_s").eqNullSafe(F.col("_s2")) & F.col("_d").eqNullSafe(F.col("_d2")) & (F.col("_m") == F.col("_m2"))
+        several = maybe_broadcast(several)
+        alone = rows.join(several, same, "left_anti").withColumn("_i", F.lit(0).cast("long"))
+        equal = rows.join(several, same, "left_semi").withColumns({"_g": F.xxhash64("_s", "_d", "_m"), "_row": F.monotonically_increasing_id()})
+        rows = alone.unionByName(slots(equal, "_g", "_row", docs.count(), "_i").drop("_g", "_row"))
+    counts = maybe_broadcast(written(counts, "copies"))
+    on = F.col("_s").eqNullSafe(F.col("_source")) & F.col("_d").eqNullSafe(F.col("_doc_id")) & (F.col("_m") == F.col("_mark")) & (F.col("_i") == F.col("_nth"))
+    return rows.join(counts, on).withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*[F.col(c) for c in docs.columns])
 
 
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
