@@ -10,8 +10,8 @@ softmax, and the others fall into RARE of its tokens, buckets, by hash. Within
 a bucket, every word that occurs often enough (``least``: MIN_COUNT times, and
 more often in a large corpus, with the root of its tokens) has its own vector
 and a leaf of a binary tree, whose nodes decide by the hidden layer and start
-at the words' counts. One leaf stands for all rarer words of the bucket; such a
-word has its share of their counts, for which the words of all documents meet
+at the words' counts. The root tells all rarer words of the bucket, one leaf,
+from the others; such a word has its share of their counts, for which the words of all documents meet
 the counted ones in a join, and all words that were not counted have the share
 of one occurrence. So the probabilities of all words sum to 1, and vocabulary
 and parameters grow with the input.
@@ -28,17 +28,17 @@ table gives an empty result; further input columns are ignored.
 
 from __future__ import annotations
 
-import zlib
 from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from mizan.llm.common import documents, text_or_empty, written
-from mizan.llm.textkit import chunks, mix, word_hashes
+from mizan.llm.textkit import chunks, mix, word_hashes, words
 
 #: Classes, tokens in a class; tokens for rare words; 0 stands for the edge.
 CLASSES, PER_CLASS, RARE = 32, 32, 63
@@ -98,12 +98,12 @@ def least(total: int) -> int:
 class Tail:
     """Trees within the buckets and vectors of the words beyond the HEAD.
 
-    A bucket with S leaves has the nodes 1 to S - 1 and the leaves S to 2S - 1,
-    node k above 2k and 2k + 1; leaf S is that of the rarer words. ``base`` is
-    the softmax token of each token."""
+    A bucket with S leaves has S - 1 nodes: the root, row 1 of its rows, and a
+    heap of the others' leaves: node k above 2k and 2k + 1, in row k + 1, leaves
+    from S - 1. ``base`` is the softmax token of each token."""
 
     def __init__(self, words: list[str], counts: np.ndarray, rest: np.ndarray):
-        bucket = np.array([zlib.crc32(w.encode()) % RARE for w in words[HEAD:]], np.int64)
+        bucket = _bucket(_hashes(words[HEAD:]))
         self.base = np.concatenate([np.arange(BASE), bucket + 1]).astype(np.int16)
         owner = np.concatenate([np.arange(RARE), bucket])
         size = np.bincount(owner, minlength=RARE)
@@ -111,19 +111,27 @@ class Tail:
         order = np.argsort(owner, kind="stable")
         place = np.empty(len(owner), np.int64)
         place[order] = np.arange(len(owner)) - first[owner[order]]
-        self.first, self.leaf = first[owner], size[owner] + place
+        self.first, self.many, self.rest = first[owner], size[owner] > 1, place == 0
+        self.leaf = np.where(self.rest, 1, size[owner] - 1 + place - 1)
         self.depth = np.frexp(self.leaf)[1].astype(np.int64) - 1
+        # Leaves from left to right, so that those below a node are together.
+        aligned = np.where(self.rest, 0, self.leaf << (self.depth.max(initial=0) - self.depth))
+        self.rank = np.empty(len(owner), np.int32)
+        self.rank[np.lexsort((aligned, owner))] = np.arange(len(owner))
         mass = np.concatenate([rest, counts[HEAD:]]) + 0.5
         self.start = np.zeros((len(owner), HIDDEN + 1), np.float32)
         for b in range(RARE):
-            n = int(size[b])
+            n, own = int(size[b]) - 1, mass[order[first[b] : first[b] + size[b]]]
+            if n < 1:
+                continue
+            self.start[first[b] + 1, HIDDEN] = np.log(own[1:].sum() / own[0])
             heap = np.zeros(2 * n)
-            heap[n:] = mass[order[first[b] : first[b] + n]]
+            heap[n:] = own[1:]
             for level in range(n.bit_length(), -1, -1):
                 k = np.arange(1 << level, min(2 << level, n))
                 heap[k] = heap[2 * k] + heap[2 * k + 1]
             k = np.arange(1, n)
-            self.start[first[b] + k, HIDDEN] = np.log(heap[2 * k + 1] / heap[2 * k])
+            self.start[first[b] + k + 1, HIDDEN] = np.log(heap[2 * k + 1] / heap[2 * k])
         self.nodes, self.vectors = self.start.copy(), np.zeros((len(self.base), DIM), np.float32)
 
     def load(self, flat: np.ndarray) -> Tail:
@@ -141,33 +149,55 @@ class Tail:
 
     def paths(self, target: np.ndarray) -> tuple:
         """Of targets in a bucket: their places in ``target``, in order of
-        their leaves, and by depth the nodes, -1 or 1 for the child, and
-        whether the path has that depth."""
+        their leaves, and the decision at the root: row, -1 or 1 for the child,
+        and whether there is one. Then which of them are in the heap below, and
+        for these by depth the same."""
         own = np.flatnonzero(((target > 0) & (target <= RARE)) | (target >= BASE))
         j = np.where(target[own] >= BASE, target[own] - BASE + RARE, target[own] - 1)
-        by = np.argsort(2 * self.first[j] + self.leaf[j], kind="stable")
+        by = np.argsort(self.rank[j], kind="stable")
         own, j = own[by], j[by]
-        leaf, left = self.leaf[j], self.depth[j] - np.arange(self.depth.max(initial=0))[:, None]
+        rest, many, first = self.rest[j], self.many[j], self.first[j]
+        deep = np.flatnonzero(~rest)
+        leaf = self.leaf[j[deep]]
+        left = self.depth[j[deep]] - np.arange(self.depth.max(initial=0))[:, None]
         held, left = left > 0, np.maximum(left, 1)
         sign = (2 * ((leaf >> (left - 1)) & 1) - 1).astype(np.float32)
-        return own, self.first[j] + np.where(held, leaf >> left, 0), sign, held
+        node = first[deep] + np.where(held, (leaf >> left) + 1, 0)
+        return own, first + many, np.where(rest, np.float32(-1), np.float32(1)), many, deep, node, sign, held
 
     def decide(self, h: np.ndarray, node: np.ndarray, sign: np.ndarray, held: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Rows of the nodes, and the probability of each child that is taken."""
         rows = self.nodes.take(node, 0)
-        z = np.einsum("lnk,nk->ln", rows, h)
+        z = np.einsum("...nk,nk->...n", rows, h)
         return rows, np.where(held, 1 / (1 + np.exp(np.clip(-sign * z, -60, 60))), np.float32(1))
 
+    def log_chances(self, h: np.ndarray, target: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The places of targets in a bucket, and the logarithm of their path."""
+        own, *root, deep, node, sign, held = self.paths(target)
+        wide = _wide(h, own)
+        value = np.log(self.decide(wide, *root)[1])
+        value[deep] += np.log(self.decide(wide[deep], node, sign, held)[1]).sum(0)
+        return own, value
+
     def learn(self, h: np.ndarray, target: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Changes the nodes; the places in ``target`` and the gradient for ``h``."""
-        own, node, sign, held = self.paths(target)
+        own, first, side, many, deep, node, sign, held = self.paths(target)
         wide = _wide(h, own)
+        rows, chance = self.decide(wide, first, side, many)
+        d = (side * (chance - 1))[:, None]
+        grown = d * rows
+        i = np.flatnonzero(many)
+        _descend(self.nodes, self.node_squares, self.node_uses, first[i], d[i] * wide[i])
+        wide = wide[deep]
         rows, chance = self.decide(wide, node, sign, held)
         d = sign * (chance - 1)
-        grown = np.einsum("ln,lnk->nk", d, rows)
+        grown[deep] += np.einsum("ln,lnk->nk", d, rows)
         for at, k in enumerate(d):
-            i = np.flatnonzero(held[at])
-            _descend(self.nodes, self.node_squares, self.node_uses, node[at][i], k[i, None] * wide[i])
+            if held[at].all():
+                _descend(self.nodes, self.node_squares, self.node_uses, node[at], k[:, None] * wide)
+            else:
+                i = np.flatnonzero(held[at])
+                _descend(self.nodes, self.node_squares, self.node_uses, node[at][i], k[i, None] * wide[i])
         return own, grown[:, :HIDDEN]
 
     def learn_vectors(self, context: np.ndarray, dx: np.ndarray) -> None:
@@ -194,33 +224,58 @@ def _descend(table: np.ndarray, squares: np.ndarray, uses: np.ndarray, row: np.n
     table[row] = table.take(row, 0) - np.float32(TAIL_RATE) * g / np.sqrt(held)
 
 
-class Tokens(dict):
+def _hashes(words: list[str]) -> np.ndarray:
+    """A 64-bit hash of each word."""
+    found = [word_hashes(data, offsets[:-1], offsets[1:], lower=False) for _, data, offsets in chunks(pa.array(words, pa.string()))]
+    return np.concatenate(found) if found else np.zeros(0, np.uint64)
+
+
+def _bucket(hashes: np.ndarray) -> np.ndarray:
+    return ((hashes >> np.uint64(33)) % np.uint64(RARE)).astype(np.int64)
+
+
+class Tokens:
     """Token of each word: frequent ones in order, others by hash."""
 
     def __init__(self, frequent: list[str]):
-        super().__init__((w, i + 1 + RARE) for i, w in enumerate(frequent))
-        self.fixed = len(self)
-
-    def __missing__(self, word: str) -> int:
-        if len(self) > self.fixed + 300_000:
-            for w in [w for w, i in self.items() if i <= RARE]:
-                del self[w]
-        self[word] = out = 1 + zlib.crc32(word.encode()) % RARE
+        known = _hashes(frequent)
+        order = np.argsort(known)
+        self.known, self.token = known[order], (order + 1 + RARE).astype(np.int32)
+
+    def of(self, hashes: np.ndarray) -> np.ndarray:
+        out = (_bucket(hashes) + 1).astype(np.int32)
+        if len(self.known):
+            at = np.minimum(np.searchsorted(self.known, hashes), len(self.known) - 1)
+            held = self.known[at] == hashes
+            out[held] = self.token[at[held]]
         return out
 
+    def __getitem__(self, word: str) -> int:
+        return int(self.of(_hashes([word]))[0])
 
-def layout(texts: list[str], tokens: Tokens, rare: list[list[str]] | None = None) -> tuple[np.ndarray, np.ndarray]:
+
+def layout(texts, tokens: Tokens, rare: list[np.ndarray] | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Tokens of all texts with edges between them, and how many each has.
-    ``rare`` takes each text's words that have only a bucket."""
-    edge, parts, sizes = np.zeros(SIDE, np.int32), [np.zeros(SIDE, np.int32)], []
-    for text in texts:
-        words = text.lower().split()
-        ids = np.array(list(map(tokens.__getitem__, words)), np.int32)
+    ``rare`` takes the hashes of each text's words that have only a bucket."""
+    found, sizes = [np.zeros(0, np.int32)], [np.zeros(0, np.int64)]
+    for _, data, offsets in chunks(_lowered(texts)):
+        start, end, bounds = words(data, offsets)
+        h = word_hashes(data, start, end, lower=False)
+        ids = tokens.of(h)
+        found.append(ids)
+        sizes.append(np.diff(bounds))
         if rare is not None:
-            rare.append([words[i] for i in np.flatnonzero(ids <= RARE)])
-        parts += [ids, edge]
-        sizes.append(len(ids))
-    return np.concatenate(parts), np.array(sizes, np.int64)
+            before = np.append(0, np.cumsum(ids <= RARE))
+            rare += np.split(h[ids <= RARE], before[bounds[1:-1]])
+    size = np.concatenate(sizes)
+    out = np.zeros(int(size.sum()) + SIDE * (len(size) + 1), np.int32)
+    out[_places(size)] = np.concatenate(found)
+    return out, size
+
+
+def _lowered(texts) -> pa.Array:
+    texts = texts if isinstance(texts, pa.Array) else pa.array(texts, pa.string())
+    return pc.utf8_lower(texts.fill_null(""))
 
 
 def _hidden(p: dict, ids: np.ndarray, at: np.ndarray, tail: Tail | None = None):
@@ -232,9 +287,18 @@ def _hidden(p: dict, ids: np.ndarray, at: np.ndarray, tail: Tail | None = None):
     return context, x, np.tanh(x @ p["W"] + p["b"])
 
 
-def _log_softmax(z: np.ndarray) -> np.ndarray:
-    z -= z.max(1, keepdims=True)
-    return z - np.log(np.exp(z).sum(1, keepdims=True))
+def _softmax(z: np.ndarray) -> np.ndarray:
+    """Over rows, in place. Values are far below 80, where float32 ends."""
+    np.exp(np.minimum(z, 80, out=z), out=z)
+    z /= z.sum(1, keepdims=True)
+    return z
+
+
+def _log_chance(z: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Logarithm of the softmax at one column of each row."""
+    z = np.minimum(z, 80, out=z)
+    own = z[np.arange(len(z)), at]
+    return own - np.log(np.exp(z, out=z).sum(1))
 
 
 def _by_class(target: np.ndarray):
@@ -256,13 +320,12 @@ def log_probabilities(p: dict, ids: np.ndarray, at: np.ndarray, tail: Tail | Non
         order, spans = _by_class(target)
         _, _, h = _hidden(p, ids, part[order], tail)
         target = target[order]
-        rows = np.arange(len(part))
-        value = _log_softmax(h @ p["Wc"] + p["bc"])[rows, target // PER_CLASS]
+        value = _log_chance(h @ p["Wc"] + p["bc"], target // PER_CLASS)
         for c, a, b in spans:
-            value[a:b] += _log_softmax(h[a:b] @ p["Wo"][c] + p["bo"][c])[rows[: b - a], target[a:b] % PER_CLASS]
+            value[a:b] += _log_chance(h[a:b] @ p["Wo"][c] + p["bo"][c], target[a:b] % PER_CLASS)
         if tail is not None:
-            own, *path = tail.paths(full[order])
-            value[own] += np.log(tail.decide(_wide(h, own), *path)[1]).sum(0)
+            own, path = tail.log_chances(h, full[order])
+            value[own] += path
         out[i + order] = value
     return out
 
@@ -287,13 +350,13 @@ class Trainer:
         target = target[order]
         context, x, h = _hidden(p, ids, at[order], tail)
         rows = np.arange(n)
-        d = np.exp(_log_softmax(h @ p["Wc"] + p["bc"]))
+        d = _softmax(h @ p["Wc"] + p["bc"])
         d[rows, target // PER_CLASS] -= 1
         d /= n
         g = {"Wc": h.T @ d, "bc": d.sum(0), "Wo": np.zeros_like(p["Wo"]), "bo": np.zeros_like(p["bo"])}
         dh = d @ p["Wc"].T
         for c, a, b in spans:
-            e = np.exp(_log_softmax(h[a:b] @ p["Wo"][c] + p["bo"][c]))
+            e = _softmax(h[a:b] @ p["Wo"][c] + p["bo"][c])
             e[rows[: b - a], target[a:b] % PER_CLASS] -= 1
             e /= n
             g["Wo"][c], g["bo"][c] = h[a:b].T @ e, e.sum(0)
@@ -329,13 +392,24 @@ def _places(sizes: np.ndarray) -> np.ndarray:
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     counts: Counter = Counter()
     for batch in batches:
-        for text in batch.column(0).to_pylist():
-            counts.update(text.lower().split())
+        for text in _lowered(batch.column(0)).cast(pa.binary()).to_pylist():
+            counts.update(text.split())
         if len(counts) > 400_000:
-            yield pa.record_batch([pa.array(counts.keys(), pa.string()), pa.array(counts.values(), pa.int64())], ["word", "n"])
+            yield _counted(counts)
             counts = Counter()
     if counts:
-        yield pa.record_batch([pa.array(counts.keys(), pa.string()), pa.array(counts.values(), pa.int64())], ["word", "n"])
+        yield _counted(counts)
+
+
+def _counted(counts: Counter) -> pa.RecordBatch:
+    return pa.record_batch([pa.array(list(counts), pa.binary()).cast(pa.string()), pa.array(list(counts.values()), pa.int64())], ["word", "n"])
+
+
+def _by_bucket(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    rest = np.zeros(RARE, np.int64)
+    for batch in batches:
+        np.add.at(rest, _bucket(_hashes(batch.column(0).to_pylist())), batch.column(1).to_numpy(zero_copy_only=False))
+    yield pa.record_batch([pa.array(np.arange(RARE)), pa.array(rest)], ["b", "n"])
 
 
 def vocabulary(docs: DataFrame) -> Vocabulary:
@@ -351,9 +425,9 @@ def vocabulary(docs: DataFrame) -> Vocabulary:
     order = order[: max(HEAD, int((n >= least(total)).sum()))]
     words, n = [names[i] for i in order], n[order]
     rest = np.zeros(RARE)
-    for r in counts.groupBy(F.pmod(F.crc32(F.col("word").cast("binary")), F.lit(RARE)).alias("b")).agg(F.sum("n").alias("n")).collect():
+    for r in counts.mapInArrow(_by_bucket, "b long, n long").groupBy("b").agg(F.sum("n").alias("n")).collect():
         rest[r["b"]] = r["n"]
-    np.subtract.at(rest, [zlib.crc32(w.encode()) % RARE for w in words], n)
+    np.subtract.at(rest, _bucket(_hashes(words)), n)
     return Vocabulary(words, n, rest, counts)
 
 
@@ -423,7 +497,7 @@ def train(docs: DataFrame, frequent: Vocabulary) -> np.ndarray:
                 if not whole and seen:
                     continue
                 for i in range(0, batch.num_rows if whole else min(256, batch.num_rows), 256):
-                    ids, sizes = layout(batch.column(0).slice(i, 256).to_pylist(), tokens)
+                    ids, sizes = layout(batch.column(0).slice(i, 256), tokens)
                     trainer.learn(ids, _places(sizes))
                     seen += int(sizes.sum())
             if seen:
@@ -451,12 +525,6 @@ def train(docs: DataFrame, frequent: Vocabulary) -> np.ndarray:
     return flat
 
 
-def _hashes(words: list[str]) -> np.ndarray:
-    """A 64-bit hash of each word."""
-    found = [word_hashes(data, offsets[:-1], offsets[1:], lower=False) for _, data, offsets in chunks(pa.array(words, pa.string()))]
-    return np.concatenate(found) if found else np.zeros(0, np.uint64)
-
-
 def _deal(parts: int, hashes: np.ndarray, *values: np.ndarray) -> Iterator[pa.RecordBatch]:
     """Hashes and values as bytes, by the part that owns the hash."""
     part = (mix(hashes) % np.uint64(parts)).astype(np.int64)
@@ -499,14 +567,13 @@ def score(docs: DataFrame, flat: np.ndarray, frequent: Vocabulary) -> DataFrame:
         for batch in batches:
             for i in range(0, batch.num_rows, 256):
                 part, rare = batch.slice(i, 256), []
-                ids, sizes = layout(part.column(1).to_pylist(), tokens, rare)
+                ids, sizes = layout(part.column(1), tokens, rare)
                 at = _places(sizes)
                 each = log_probabilities(p, ids, at, tail).astype(np.float64)
                 each -= np.where(ids[at] <= RARE, rest[np.minimum(ids[at], RARE)], 0)
                 value = np.append(0.0, np.cumsum(each))
                 ends = np.cumsum(sizes)
-                hashes, cut = _hashes([w for ws in rare for w in ws]), np.cumsum([0, *map(len, rare)])
-                blobs = pa.array([hashes[a:b].tobytes() for a, b in zip(cut, cut[1:])], pa.binary())
+                blobs = pa.array([h.tobytes() for h in rare], pa.binary())
                 yield pa.record_batch([part.column(0), pa.array(sizes), pa.array(value[ends] - value[ends - sizes]), part.column(2), blobs], ["doc_id", "n_tokens", "likelihood", "_row", "rare"])
 
     numbered = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"), F.monotonically_increasing_id().alias("_row"))
