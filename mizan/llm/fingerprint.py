@@ -4,8 +4,10 @@ The canonical form of a text is NFKC, full case folding, NFKC again, then
 every run of white space as one space and none at the ends (ICU and Java do
 this inside the JVM through SQL's ``reflect``). The digest is 128 bits wide:
 two xxhash64 lanes with different seeds. Rows with equal digests form a
-bucket; the bytes of their canonical forms are compared, and a bucket that
-holds different forms gets ordinals, so equal fingerprints mean equal forms.
+bucket; the bytes of their canonical forms are compared, and so are those of a
+text and its edited text. If a bucket holds different forms (never seen, but
+possible), all digests are made anew with two lanes more, until none does, so
+equal fingerprints mean equal forms.
 
 Defined results: a null text counts as empty, and empty texts share one
 fingerprint; a null doc_id sorts last in descending order; repeated doc_ids
@@ -18,10 +20,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from mizan.llm.common import documents, text_or_empty, written
+from mizan.llm.common import documents, scoped, text_or_empty, written
 
 #: Stands for a missing doc_id in joins; not a doc_id itself.
 _NO_ID = -(2**63)
+#: Seeds of the lanes of a digest, and how many it has unless forms clash.
+SEEDS, LANES = (11, 29, 47, 71, 97, 113, 131, 151), 2
 
 
 def _nfkc(text: Column) -> Column:
@@ -36,10 +40,13 @@ def canonical(text: Column) -> Column:
     return F.trim(F.regexp_replace(plain, r"[\s\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]+", " "))
 
 
-def digest(form: Column) -> Column:
-    """128 bits as 32 hexadecimal digits."""
-    lanes = [F.lpad(F.lower(F.hex(F.xxhash64(F.lit(seed), form))), 16, "0") for seed in (11, 29)]
-    return F.concat(*lanes)
+def lane(form: Column, seed: int) -> Column:
+    return F.xxhash64(F.lit(seed), form)
+
+
+def digest(form: Column, lanes: int = LANES) -> Column:
+    """64 bits of each lane as 16 hexadecimal digits."""
+    return F.concat(*[F.lpad(F.lower(F.hex(lane(form, seed))), 16, "0") for seed in SEEDS[:lanes]])
 
 
 def fingerprint(docs: DataFrame) -> DataFrame:
@@ -48,13 +55,13 @@ def fingerprint(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", digest(canonical(text_or_empty())).alias("fingerprint"))
 
 
-def _neighbours(docs: DataFrame) -> DataFrame:
+def _neighbours(docs: DataFrame, lanes: int) -> DataFrame:
     """For each row its key (k, o), length, digest, whether the digest occurs
     more than once, and the key of the next row in descending order. Only
     these narrow columns are shuffled and ranked."""
     spark = docs.sparkSession
     by_id = Window.partitionBy("k").orderBy("h")
-    narrow = docs.select("k", "h", F.length("t").alias("n"), digest(canonical(F.col("t"))).alias("fp")).withColumn("o", F.row_number().over(by_id)).drop("h")
+    narrow = docs.select("k", "h", F.length("t").alias("n"), digest(canonical(F.col("t")), lanes).alias("fp")).withColumn("o", F.row_number().over(by_id)).drop("h")
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     ranged = narrow.repartitionByRange(parts, F.desc("k"), F.desc("o")).withColumn("p", F.spark_partition_id())
     ranged = written(ranged, "ranges")
@@ -69,6 +76,17 @@ def _neighbours(docs: DataFrame) -> DataFrame:
 
 
 def compare_edited(docs: DataFrame) -> DataFrame:
+    """Fingerprints of each text and of its edited text, without clashes."""
+    for lanes in range(LANES, len(SEEDS) + 1, 2):
+        rows = _prints(docs, lanes)
+        if not _clash(rows):
+            break
+    like = lambda a: F.when(F.col("fingerprint") == F.col(a), F.lit(1.0)).otherwise(F.lit(0.0))
+    return rows.select("doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", like("edited_fingerprint").alias("near_edited"), like("next_fp").alias("near_next"))
+
+
+@scoped
+def _prints(docs: DataFrame, lanes: int) -> DataFrame:
     """Fingerprints of each text and of its edited text: the last third of its
     code points replaced by as many of the next document's first.
 
@@ -76,7 +94,7 @@ def compare_edited(docs: DataFrame) -> DataFrame:
     narrow rows before. A likeness is 1.0 for equal fingerprints, else 0.0.
     """
     base = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_NO_ID)).alias("k"), text_or_empty().alias("t")).withColumn("h", F.xxhash64("t"))
-    near = written(_neighbours(base), "order")
+    near = written(_neighbours(base, lanes), "order")
     texts = base.withColumn("o", F.row_number().over(Window.partitionBy("k").orderBy("h"))).drop("h")
     # The second key is a residual condition, so that all joins keep the
     # partitioning by the first and the texts are exchanged once.
@@ -92,33 +110,28 @@ def compare_edited(docs: DataFrame) -> DataFrame:
     own = near.select(F.col("k").alias("wk"), F.col("o").alias("wo"), "n", "fp", "dup")
     whole = texts.join(own, (F.col("k") == F.col("wk")) & same("o", "wo")).join(patches, (F.col("k") == F.col("ok")) & same("o", "oo"))
     edited = F.concat(F.expr("left(t, cast(n - m as int))"), F.col("patch"))
-    rows = whole.select("k", "n", "fp", "next_fp", "dup", F.when(F.col("dup"), F.col("t")).alias("t"), edited.alias("e"), (F.col("t") == edited).alias("unchanged"))
-    rows = rows.select(
+    rows = whole.select("k", "n", "fp", "next_fp", "dup", F.when(F.col("dup"), F.col("t")).alias("t"), F.col("t").alias("t0"), edited.alias("e"), (F.col("t") == edited).alias("unchanged"))
+    print_ = F.when(F.col("unchanged"), F.col("fp")).otherwise(digest(canonical(F.col("e")), lanes))
+    rows = rows.withColumn("efp", print_)
+    return rows.select(
         F.when(F.col("k") != _NO_ID, F.col("k")).alias("doc_id"),
         F.col("n").cast("long").alias("n_chars"),
         F.sha2("e", 256).alias("edited_sha256"),
         F.col("fp").alias("fingerprint"),
-        F.when(F.col("unchanged"), F.col("fp")).otherwise(digest(canonical(F.col("e")))).alias("edited_fingerprint"),
+        F.col("efp").alias("edited_fingerprint"),
         "next_fp",
         F.when(F.col("dup"), canonical(F.col("t"))).alias("form"),
+        # Equal digests of a text and its edited text: their forms must be equal.
+        F.when((F.col("efp") == F.col("fp")) & ~F.col("unchanged"), canonical(F.col("t0")) != canonical(F.col("e"))).otherwise(F.lit(False)).alias("differs"),
     )
-    rows = written(rows, "prints")
-    rows = _told_apart(rows)
-    like = lambda a: F.when(F.col("fingerprint") == F.col(a), F.lit(1.0)).otherwise(F.lit(0.0))
-    return rows.select("doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", like("edited_fingerprint").alias("near_edited"), like("next_fp").alias("near_next"))
 
 
-def _told_apart(rows: DataFrame) -> DataFrame:
+def _clash(rows: DataFrame) -> bool:
     """Compare bytes inside equal buckets. Copies merge before the shuffle, so
-    a bucket brings one row for each different form; forms that share a digest
-    (never seen, but possible) get their rank in byte order as a suffix."""
+    a bucket brings one row for each different form."""
     forms = rows.where("form is not null").select("fingerprint", "form").distinct()
-    bucket = Window.partitionBy("fingerprint")
-    clash = forms.withColumn("c", F.count(F.lit(1)).over(bucket)).where("c > 1")
-    clash = written(clash.select("fingerprint", "form", F.row_number().over(bucket.orderBy("form")).alias("nth")), "clashes")
-    if clash.isEmpty():
-        return rows
-    return rows.join(clash, ["fingerprint", "form"], "left").withColumn("fingerprint", F.when(F.col("nth").isNull(), F.col("fingerprint")).otherwise(F.concat_ws("-", "fingerprint", F.col("nth").cast("string")))).drop("nth")
+    several = forms.groupBy("fingerprint").count().where("count > 1")
+    return not several.isEmpty() or not rows.where("differs").isEmpty()
 
 
 def op4_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
