@@ -8,6 +8,10 @@ aligned columns, preformatted text as it stands.
 
 Defined results: null and empty pages give an empty text; markup cut off in
 the middle is closed at the end; nesting of any depth is walked with a stack;
+style rules count if their selector is one of tags, classes and ids without
+combinators, and not in a media block for something else than a screen; others
+are ignored, so what they hide is emitted; buttons and filled-in fields show
+their value;
 repeated rows give repeated results; an empty table gives an empty result;
 further input columns are ignored.
 """
@@ -33,7 +37,14 @@ _TOKEN = re.compile(
 )
 _ATTR = re.compile(r"([^\s=/>\"']+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>\"']+)))?")
 _BLANKS = re.compile(r"[ \t\n\r\f]+")
-_INVISIBLE = re.compile(r"(?:display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse))", re.I)
+_COMMENT = re.compile(r"/\*.*?(?:\*/|\Z)", re.S)
+_SCREEN = re.compile(r"@media\s+(?:only\s+)?(?:screen|all)\b[^{}]*\{((?:[^{}]*\{[^{}]*\})*)[^{}]*\}", re.I)
+_OTHER_AT = re.compile(r"@[^{};]*(?:;|\{(?:[^{}]*\{[^{}]*\})*[^{}]*\})")
+_RULE = re.compile(r"([^{}]+)\{([^{}]*)\}")
+_SELECTOR = re.compile(r"([a-zA-Z][\w-]*|\*)?((?:[.#][\w-]+)*)")
+_DECLARED = re.compile(r"(?:^|[;\s])(display|visibility)\s*:\s*([a-zA-Z-]+)\s*(!\s*important)?", re.I)
+#: Inputs whose value is not text on the page.
+NO_TEXT = frozenset("hidden checkbox radio password file image range color".split())
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title xmp iframe noembed noframes noscript".split())
@@ -79,7 +90,7 @@ def _attributes(raw: str) -> dict[str, str]:
 def parse(html: str) -> Node:
     """The tree of a page, under a root node."""
     root = Node("", {})
-    stack, at, size = [root], 0, len(html)
+    stack, at, size, sheets = [root], 0, len(html), []
 
     def close(index: int) -> None:
         del stack[index:]
@@ -139,15 +150,61 @@ def parse(html: str) -> Node:
             end = re.compile(rf"</{re.escape(tag)}(?=[\s/>])[^>]*>?", re.I).search(html, at)
             inner = html[at : end.start() if end else size]
             node.children.append(unescape(inner) if tag in ("textarea", "title") else inner)
+            if tag == "style":
+                sheets.append(inner)
             at = end.end() if end else size
         elif tag not in VOID and not (raw.endswith("/") and tag in ("svg", "math", "path")):
             stack.append(node)
+    root.attrs["sheets"] = "\n".join(sheets)
     return root
 
 
-def hidden(node: Node) -> bool:
-    a = node.attrs
-    return node.tag in HIDDEN or "hidden" in a or (node.tag == "input") or bool(a.get("style") and _INVISIBLE.search(a["style"]))
+def _declarations(body: str) -> list[tuple[str, str, bool]]:
+    return [(m[1].lower(), m[2].lower(), bool(m[3])) for m in _DECLARED.finditer(body)]
+
+
+class Sheet:
+    """The rules of a page's style elements for display and visibility, under
+    the last tag, class or id of their selector."""
+
+    def __init__(self, css: str):
+        self.rules: dict[str, list] = {}
+        css = _OTHER_AT.sub("", _SCREEN.sub(r"\1", _COMMENT.sub("", css)))
+        for at, (selectors, body) in enumerate(_RULE.findall(css)):
+            if not (found := _declarations(body)):
+                continue
+            for one in selectors.split(","):
+                if not (m := _SELECTOR.fullmatch(one.strip())) or not m[0]:
+                    continue
+                parts = re.findall(r"[.#][\w-]+", m[2])
+                tag = (m[1] or "*").lower()
+                ids = sum(x[0] == "#" for x in parts)
+                rank = (ids, len(parts) - ids, tag != "*", at)
+                self.rules.setdefault(parts[-1] if parts else tag, []).append((tag, frozenset(parts), rank, found))
+
+    def of(self, node: Node) -> dict[str, str]:
+        """What the rules, and over them the style attribute, declare."""
+        out: dict[str, tuple] = {}
+        if self.rules:
+            names = {f".{x}" for x in node.attrs.get("class", "").split()} | ({f"#{node.attrs['id']}"} if "id" in node.attrs else set())
+            for key in ("*", node.tag, *names):
+                for tag, parts, rank, found in self.rules.get(key, ()):
+                    if tag in ("*", node.tag) and parts <= names:
+                        for name, value, important in found:
+                            out[name] = max(out.get(name, ((),)), ((important, 0, *rank), value))
+        for name, value, important in _declarations(node.attrs.get("style", "")):
+            out[name] = max(out.get(name, ((),)), ((important, 1), value))
+        return {name: value[1] for name, value in out.items()}
+
+
+def hidden(node: Node, style: dict[str, str]) -> bool:
+    """Whether the node and all in it take no part in the layout."""
+    return node.tag in HIDDEN or style.get("display", "none" if "hidden" in node.attrs else "") == "none"
+
+
+def _field(node: Node) -> str:
+    """What an input shows."""
+    return "" if node.attrs.get("type", "text").strip().lower() in NO_TEXT else node.attrs.get("value", "")
 
 
 class Flow:
@@ -257,13 +314,13 @@ def _aligned(rows: list[list[tuple[list[str], int, int]]]) -> list[str]:
 
 def render(root: Node) -> str:
     """The visible text of a tree."""
-    flows, tables, lists, keep, quiet = [Flow()], [], [], 0, 0
-    walk: list[tuple[Node | str, bool]] = [(root, False)]
+    flows, tables, lists, keep, sheet = [Flow()], [], [], 0, Sheet(root.attrs.get("sheets", ""))
+    walk: list[tuple[Node | str, bool, bool]] = [(root, False, True)]
     while walk:
-        node, leaving = walk.pop()
+        node, leaving, seen = walk.pop()
         flow = flows[-1]
         if isinstance(node, str):
-            if not (tables and tables[-1][2] == len(flows) and node.isspace()):
+            if seen and not (tables and tables[-1][2] == len(flows) and node.isspace()):
                 flow.text(node, keep > 0)
             continue
         tag = node.tag
@@ -300,7 +357,14 @@ def render(root: Node) -> str:
             if tag in BLOCK:
                 flow.apart(2 if tag in APART else 1)
             continue
-        if hidden(node):
+        style = sheet.of(node) if sheet.rules or "style" in node.attrs else {}
+        if hidden(node, style):
+            continue
+        if "visibility" in style:  # what is in an unseen node can be seen again
+            seen = style["visibility"] not in ("hidden", "collapse") if style["visibility"] != "inherit" else seen
+        if tag == "input":
+            if seen and (value := _field(node)):
+                flow.text(f" {value} ", False)
             continue
         if tag == "br":
             flow.flush(force=True)
@@ -315,7 +379,7 @@ def render(root: Node) -> str:
         if tag in ("ul", "ol", "menu", "dir"):
             lists.append([tag == "ol", _number(node.attrs.get("start"), 1)])
         elif tag == "li":
-            mark = "- "
+            mark = "- " if seen else "  "
             if lists and lists[-1][0]:
                 lists[-1][1] = _number(node.attrs.get("value"), lists[-1][1])
                 mark = f"{lists[-1][1]}. "
@@ -336,11 +400,11 @@ def render(root: Node) -> str:
             keep += 1
         elif tag == "q":
             flow.text("“", False)
-        walk.append((node, True))
+        walk.append((node, True, seen))
         children = node.children
         if tag == "pre" and children and isinstance(children[0], str):
             children = [children[0].removeprefix("\n"), *children[1:]]
-        walk.extend((c, False) for c in reversed(children))
+        walk.extend((c, False, seen) for c in reversed(children))
     return "\n".join(flows[0].result())
 
 
