@@ -12,6 +12,7 @@ from mizan import __version__
 from mizan.operators.collapse import exploded
 from mizan.plans.analyze import analyze_words
 from mizan.plans.disambiguate import analyze_text
+from mizan.plans.tables import scratch_path
 from mizan.sources import demo, language_model, lexicon, sinks
 
 
@@ -25,7 +26,7 @@ def parser() -> argparse.ArgumentParser:
         c.add_argument("--lexicon", help="folder of a full lexicon; the demo one if absent")
         c.add_argument("--model", help="language model text (for text)")
         how = c.add_mutually_exclusive_group()
-        how.add_argument("-f", "--format", choices=sinks.FORMATS, default="table")
+        how.add_argument("-f", "--format", choices=sinks.FORMATS, default="raw")
         how.add_argument("--json", dest="format", action="store_const", const="json", help=argparse.SUPPRESS)
         if name == "analyze":
             c.add_argument("-i", "--inflections", action="store_true")
@@ -39,19 +40,21 @@ def _show(df, how: str) -> None:
     if how == "csv":
         print(",".join(df.columns))
     lines = {"raw": sinks.raw_lines, "csv": sinks.csv_lines, "json": sinks.json_rows}[how](df)
-    print(*[r["value"] for r in lines.collect()], sep="\n")
+    for r in lines.collect():
+        print(r["value"])
 
 
 def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> int:
     args = parser().parse_args(argv)
     spark = spark or SparkSession.builder.appName("mizan").getOrCreate()
-    lex = lexicon.load(spark, args.lexicon) if args.lexicon else demo_lexicon(spark)
+    lex = lexicon.Lexicon.build(spark, args.lexicon, scratch_path(spark, "lexicon")) if args.lexicon else demo_lexicon(spark)
     if args.command == "analyze":
         words = args.words or sys.stdin.read().split()
         df = spark.createDataFrame([(i, w) for i, w in enumerate(words)], "word_ix int, word string")
         found = analyze_words(df, lex)
         if args.format == "json" and not args.inflections:
-            print(*[r["value"] for r in sinks.json_words(df.orderBy("word_ix"), found).collect()], sep="\n")
+            for r in sinks.json_words(df, found, "word_ix").collect():
+                print(r["value"])
             return 0
         rows = df.join(exploded(found) if args.inflections else found.drop("inflections"), "word").orderBy("word_ix", "rank").drop("word_ix", "ord", "rank")
         _show(rows, args.format)
@@ -69,7 +72,7 @@ _HELD: dict[tuple, object] = {}
 def demo_lexicon(spark: SparkSession) -> lexicon.Lexicon:
     key = (spark.sparkContext.applicationId, "lexicon")
     if key not in _HELD:
-        _HELD[key] = lexicon.load(spark, demo.tables()).local(spark)
+        _HELD[key] = lexicon.Lexicon.build(spark, demo.tables(), scratch_path(spark, "demo"))
     return _HELD[key]  # type: ignore[return-value]
 
 

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from mizan.functions import text as T
 from mizan.functions.hamza import spell_hamza
 from mizan.functions.letters import GENDERS, NUMBERS, PERSONS, SINGLE_SLOT, SUKUN, TENSES
+from mizan.plans.tables import materialized
 from mizan.sources.lexicon import Lexicon
 
 AFFIX = "array<struct<form:string,description:string>>"
@@ -124,15 +125,15 @@ def proper_nouns(segs: DataFrame, lex: Lexicon) -> DataFrame:
     return _raw(rows, 1, order=F.col("n_ord"), voweled=F.col("voweled"), proclitic=_column(F.col("p_voweledform"), F.col("p_desc"), " : "), stem=T.strip_last_diacritic(F.col("v")), part_of_speech=label, lemma=F.col("lemma"), root=root, casemood=F.col("casemood"), enclitic=_column(F.col("enc"), F.col("e_desc"), " : "), priority=F.lit("0.01100101"), pos=F.col("main"), type=T.given(F.col("kind")), gender=T.given(F.col("sex")), number=T.given(F.col("count")), state=T.given(F.col("definit")))
 
 
-def solutions(segs: DataFrame, lex: Lexicon, cat: str) -> DataFrame:
-    """(stem, root, formula) for each different stem: an equi-join with the
+def solutions(segs: DataFrame, lex: Lexicon) -> DataFrame:
+    """(cat, stem, root, formula) for each different stem: an equi-join with the
     index of stems, then the pattern's letters and the root's rule."""
     stems = segs.select("stem").distinct().withColumn("key", T.fold_hamza(F.col("stem")))
-    hit = stems.join(lex.stem_index.where(F.col("cat") == cat), "key").where(F.length("stem") == F.col("stem_len"))
+    hit = stems.join(lex.stem_index, "key").where(F.length("stem") == F.col("stem_len"))
     hit = hit.where(T.fits_pattern(F.concat(T.first(F.col("stem")), T.fold_hamza(F.substring("stem", 2, 1 << 20))), F.concat(T.first(F.col("val")), T.fold_hamza(F.substring("val", 2, 1 << 20)))))
     letter = lambda r: F.when(r.rlike("[1-9]"), F.substring(F.col("stem"), F.try_to_number(r, F.lit("9")).cast("int"), 1)).otherwise(r)
     made = F.transform("rules", lambda rule: T.fold_hamza(F.array_join(F.transform(T.chars(rule), letter), "")))
-    return hit.where(F.array_contains(made, F.col("root"))).select("stem", "root", "stem_len", "formula_id").distinct()
+    return hit.where(F.array_contains(made, F.col("root"))).select("cat", "stem", "root", "stem_len", "formula_id").distinct()
 
 
 def vowelize(rows: DataFrame) -> DataFrame:
@@ -165,13 +166,19 @@ def vowelize(rows: DataFrame) -> DataFrame:
     body = T.let(T.fill_letters(pattern, F.col("stem")), lambda v: F.when(article & sun, F.concat(T.first(v), F.lit("ّ"), F.substring(v, 2, 1 << 20))).otherwise(v))
     alone = F.struct(body.alias("v"), F.lit("").alias("enc"))
     rows = rows.withColumn("_s", F.when(joined, T.let(T.let(T.let(body, enclitic), joint), attach)).otherwise(alone))
-    return rows.withColumns({"voweled": T.let(T.let(spell_hamza(F.col("_s.v")), front), double), "enc": F.col("_s.enc")}).drop("_s").persist()
+    return rows.withColumns({"voweled": T.let(T.let(spell_hamza(F.col("_s.v")), front), double), "enc": F.col("_s.enc")}).drop("_s")
 
 
-def _derived(segs: DataFrame, lex: Lexicon, cat: str) -> DataFrame:
-    found = solutions(segs, lex, cat).join(lex.reading.where(F.col("cat") == cat).drop("cat"), ["root", "stem_len", "formula_id"])
-    rows = segs.join(found, "stem")
-    return vowelize(rows)
+def derived(segs: DataFrame, lex: Lexicon, cats: tuple[str, ...] = ("Nouns", "Verbs")) -> DataFrame:
+    """Segments with all that roots and formulas say of their stems, vowelised:
+    a written table, that ``nouns`` and ``verbs`` filter."""
+    found = solutions(segs, lex).join(lex.reading, ["cat", "root", "stem_len", "formula_id"])
+    allowed = {
+        "Verbs": F.length("stem").between(1, 9) & ~_has("p_classe", "N") & ~_has("e_classe", "N"),
+        "Nouns": F.length("stem").between(2, 11) & ~_has("p_classe", "V") & ~_has("e_classe", "V"),
+    }
+    gate = reduce(lambda a, b: a | b, [(F.col("cat") == c) & allowed[c] for c in cats])
+    return materialized(vowelize(materialized(segs.join(found, "stem").where(gate), "derived")), "vowelised")
 
 
 #: Endings of the subject and their names, by tense and pronoun.
@@ -208,9 +215,9 @@ def subject_affixes() -> tuple[Column, Column]:
     return prefix, suffix
 
 
-def verbs(segs: DataFrame, lex: Lexicon) -> DataFrame:
-    gate = F.length("stem").between(1, 9) & ~_has("p_classe", "N") & ~_has("e_classe", "N")
-    rows = _derived(segs.where(gate), lex, "Verbs")
+def verbs(rows: DataFrame) -> DataFrame:
+    """``rows``: of ``derived``."""
+    rows = rows.where(F.col("cat") == "Verbs")
     tense, mood, p, e = F.col("type"), F.col("casemood"), F.col("p_classe"), F.col("e_classe")
     wrong_mood = reduce(lambda a, b: a | b, [(p == c) & (tense != "مضارع") & (mood != m) for c, m in (("V1", "مرفوع"), ("V2", "منصوب"), ("V3", "مجزوم"))])
     bad = ((F.col("transitivity") == "لازم") & (F.col("e_unvoweledform") != "")) | wrong_mood | ((p == "C2") & (tense == "أمر")) | (e.isin("V2", "V3") & (tense == "أمر")) | ((e == "V4") & (F.col("person2") != "أنتم"))
@@ -223,7 +230,7 @@ def verbs(segs: DataFrame, lex: Lexicon) -> DataFrame:
     enc = F.when(F.col("suffix").isNull(), enc).when(F.col("enc") == "", text("suffix")).otherwise(F.concat(text("suffix"), F.lit("+"), enc))
     one = lambda c: F.when(F.col(c).isNull(), F.array().cast(AFFIX)).otherwise(F.array(F.col(c)).cast(AFFIX))
     return _raw(
-        rows, 4, order=F.concat_ws("/", "root", F.lpad(F.col("formula_id").cast("string"), 9, "0")), voweled=F.col("voweled"), proclitic=pro, stem=T.stem_hamza(F.col("stem")), part_of_speech=F.col("label"),
+        rows, 4, order=F.concat_ws("/", "root", F.lpad(F.col("formula_id").cast("string"), 9, "0")), voweled=F.col("voweled"), proclitic=pro, stem=F.coalesce("made", T.stem_hamza(F.col("stem"))), part_of_speech=F.col("label"),
         diac_pattern=F.col("diac_pattern"), pattern=F.col("pattern"), lemma=F.col("lemma"), lemma_pattern=F.col("lemma_pattern"), root=F.col("root"), casemood=F.col("casemood"), enclitic=enc, priority=F.col("priority"),
         pos=F.col("main"), tense=F.col("type"), voice=F.col("voice"), person=F.col("person"), pronoun=F.col("person2"), transitivity=F.col("transitivity"), augmentation=F.col("augmented"),
         emphatic=F.col("emphasized") == "مؤكد", prefixes=one("prefix"), suffixes=one("suffix"),
@@ -258,9 +265,9 @@ def number_suffixes() -> tuple[Column, Column]:
     return F.coalesce(found, F.array().cast(AFFIX)), F.coalesce(bound, F.lit(False))
 
 
-def nouns(segs: DataFrame, lex: Lexicon) -> DataFrame:
-    gate = F.length("stem").between(2, 11) & ~_has("p_classe", "V") & ~_has("e_classe", "V")
-    rows = _derived(segs.where(gate), lex, "Nouns")
+def nouns(rows: DataFrame) -> DataFrame:
+    """``rows``: of ``derived``."""
+    rows = rows.where(F.col("cat") == "Nouns")
     v = F.col("voweled")
     v = F.when((F.col("number") != "مثنى") & v.endswith("ءَانِ"), F.replace(v, F.lit("ءَانِ"), F.lit("آنِ"))).otherwise(v)
     rows = rows.withColumn("voweled", F.replace(F.replace(v, F.lit("لَلْلّ"), F.lit("لَلّ")), F.lit("لِلْلّ"), F.lit("لِلّ")))
@@ -276,7 +283,7 @@ def nouns(segs: DataFrame, lex: Lexicon) -> DataFrame:
     enc = F.when(text == "", enc).when(enc == "#", text).otherwise(F.concat(text, F.lit(" + "), enc))
     case = F.when(F.col("p_classe").isin("N4", "N5") & (F.col("casemood") == "منصوب") & spared, "مجرور").otherwise(F.col("casemood"))
     return _raw(
-        rows, 3, order=F.concat_ws("/", "root", F.lpad(F.col("formula_id").cast("string"), 9, "0")), voweled=F.col("voweled"), proclitic=_column(F.col("p_voweledform"), F.col("p_desc"), ": "), stem=T.stem_hamza(F.col("stem")),
+        rows, 3, order=F.concat_ws("/", "root", F.lpad(F.col("formula_id").cast("string"), 9, "0")), voweled=F.col("voweled"), proclitic=_column(F.col("p_voweledform"), F.col("p_desc"), ": "), stem=F.coalesce("made", T.stem_hamza(F.col("stem"))),
         part_of_speech=F.concat_ws("|", "main", "type", "number", "gender", state), diac_pattern=F.col("diac_pattern"), pattern=F.col("pattern"), lemma=F.col("lemma"), lemma_pattern=F.col("lemma_pattern"), root=F.col("root"), casemood=case, enclitic=enc, priority=F.col("priority"),
         pos=F.col("main"), type=F.col("type"), gender=F.col("gender"), number=F.col("number"), state=T.given(state), suffixes=F.col("found"),
     )

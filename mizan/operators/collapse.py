@@ -13,12 +13,9 @@ READING = ["word", "diacritized", "lemma", "root", "stem", "pattern", "lemma_pat
 
 
 def finished(raw: DataFrame) -> DataFrame:
-    """Raw readings with the stem spelt from root and pattern, and the ending
-    of case or mood taken off word, stem and pattern."""
-    dps = T.strip_last_diacritic(F.col("diac_pattern"))
-    raw = raw.withColumn("diac_pattern", dps)
-    stem = F.when(~F.col("root").isin("#", "-") & (F.col("diac_pattern") != "-"), T.instantiate(F.col("root"), F.col("diac_pattern"))).otherwise(F.col("stem"))
-    return raw.withColumn("stem", stem)
+    """Raw readings with the ending of case or mood taken off the pattern; the
+    stem is spelt from root and pattern in the lexicon's table of readings."""
+    return raw.withColumn("diac_pattern", T.strip_last_diacritic(F.col("diac_pattern")))
 
 
 def analyses(raw: DataFrame) -> DataFrame:

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from mizan.functions import text as T
 from mizan.plans.analyze import raw_readings
+from mizan.plans.tables import materialized
 from mizan.operators import collapse as C
 from mizan.sources.language_model import LanguageModel
 from mizan.sources.lexicon import Lexicon
@@ -48,8 +49,8 @@ def start_row(candidates: Column) -> Column:
 
 def disambiguate(tokens: DataFrame, lex: Lexicon, lm: LanguageModel) -> DataFrame:
     """The tokens with lemma, stem, root and whether they were analysed."""
-    raw = raw_readings(tokens, lex, "token").persist()
-    best = C.ranked(C.analyses(raw))
+    raw = raw_readings(tokens, lex, "token")
+    best = materialized(C.ranked(C.analyses(raw)).select("word", "lemma", "rank"), "best")
     lemmas = best.groupBy(F.col("word").alias("token"), "lemma").agg(F.min("rank").alias("r"))
     lists = lemmas.groupBy("token").agg(F.transform(F.array_sort(F.collect_list(F.struct("r", "lemma"))), lambda x: x["lemma"]).alias("lemmas"))
     kinds = tokens.select("token").distinct().join(lists, "token", "left").withColumn("analyzed", F.col("lemmas").isNotNull())
@@ -57,7 +58,7 @@ def disambiguate(tokens: DataFrame, lex: Lexicon, lm: LanguageModel) -> DataFram
     kinds = kinds.join(lm.emission.withColumnRenamed("p", "b"), ["unv", "lemma"], "left").join(lm.backoff.withColumnRenamed("p", "bo"), "lemma", "left").join(lm.start, "lemma", "left")
     kinds = kinds.withColumn("bo", F.coalesce("bo", F.lit(BACKOFF))).withColumn("b", F.coalesce("b", "bo"))
     of = kinds.groupBy("token", "analyzed").agg(F.array_sort(F.collect_list(F.struct("k", "lemma", "b", "bo", "total", "freq"))).alias("c"))
-    of = of.withColumn("start", start_row(F.col("c"))).persist()
+    of = materialized(of.withColumn("start", start_row(F.col("c"))), "candidates")
     occ = tokens.join(of, "token")
     n = tokens.groupBy(*SENTENCE).agg(F.count(F.lit(1)).alias("n"))
     # Neighbouring pairs of different words and whether they open a sentence.
@@ -70,12 +71,14 @@ def disambiguate(tokens: DataFrame, lex: Lexicon, lm: LanguageModel) -> DataFram
     value = F.coalesce("p", "bo1") + F.when(F.col("opens"), F.col("b1") + F.col("start")).otherwise(F.col("bo1"))
     step = scored.groupBy("t1", "token", "opens", "k2", "b2").agg(F.max(F.struct(value.alias("v"), (-F.col("k1")).alias("k"))).alias("m"))
     step = step.groupBy("t1", "token", "opens").agg(F.array_sort(F.collect_list(F.struct("k2", (-F.col("m.k")).alias("back"), (F.col("m.v") + F.col("b2")).alias("acc")))).alias("s"))
+    step = materialized(step, "steps")
     walked = pairs.join(step, ["t1", "token", "opens"]).groupBy(*SENTENCE).agg(F.array_sort(F.collect_list(F.struct("token_ix", "s"))).alias("steps"))
     top = lambda s: F.get(F.transform(F.slice(F.array_sort(F.transform(s, lambda x: F.struct((-x["acc"]).alias("v"), x["k2"].alias("k")))), 1, 1), lambda x: x["k"]), F.lit(0))
     last = top(F.element_at(F.col("steps"), -1)["s"])
     path = F.aggregate(F.reverse("steps"), F.array(last), lambda a, x: F.concat(F.array(F.get(x["s"], F.get(a, F.lit(0)))["back"]), a))
     alone = occ.join(n.where("n = 1"), SENTENCE).select(*SENTENCE, F.array(F.get(F.transform(F.slice(F.array_sort(F.transform("start", lambda v, i: F.struct((-(v + ALONE)).alias("v"), i.alias("k")))), 1, 1), lambda x: x["k"]), F.lit(0))).alias("path"))
     paths = walked.select(*SENTENCE, path.alias("path")).unionByName(alone).select(*SENTENCE, F.posexplode("path").alias("token_ix", "k"))
+    paths = materialized(paths, "paths")
     chosen = tokens.join(paths, [*SENTENCE, "token_ix"]).join(of, "token")
     chosen = chosen.select(*SENTENCE, "token_ix", "token", F.get("c", "k")["lemma"].alias("lemma"), "analyzed")
     most = lambda value, counts: raw.select(F.col("word").alias("token"), "lemma", F.col(value).alias("x"), "ord").join(counts.withColumnRenamed(value, "x"), "x", "left").groupBy("token", "lemma").agg(F.min(F.struct((-F.coalesce("n", F.lit(0.0))).alias("n"), "ord", "x")).alias("m")).select("token", "lemma", F.col("m.x").alias(value))
@@ -84,4 +87,4 @@ def disambiguate(tokens: DataFrame, lex: Lexicon, lm: LanguageModel) -> DataFram
 
 
 def analyze_text(docs: DataFrame, lex: Lexicon, lm: LanguageModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    return disambiguate(tokens(docs, id_col, text_col), lex, lm)
+    return disambiguate(materialized(tokens(docs, id_col, text_col), "tokens"), lex, lm)

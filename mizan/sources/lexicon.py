@@ -9,6 +9,7 @@ them from 1. The dimension tables that the plans join are derived here once;
 from __future__ import annotations
 
 import json
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, fields
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -119,17 +120,29 @@ class Lexicon:
     reading: DataFrame
 
     def save(self, folder: str) -> None:
-        for f in fields(self):
-            getattr(self, f.name).write.mode("overwrite").parquet(f"{folder}/{f.name}")
-
-    def local(self, spark: SparkSession) -> Lexicon:
-        """The same with tables held by the driver; for small lexicons only."""
-        return Lexicon(**{f.name: spark.createDataFrame(getattr(self, f.name).collect(), getattr(self, f.name).schema) for f in fields(self)})
+        """Each table as Parquet. They are written side by side: small ones cost
+        little but their planning."""
+        one = lambda f: getattr(self, f.name).write.mode("overwrite").parquet(f"{folder}/{f.name}")
+        with ThreadPoolExecutor(8) as pool:
+            list(pool.map(one, [f for f in fields(self) if getattr(self, f.name) is not None]))
 
     @classmethod
     def open(cls, spark: SparkSession, folder: str) -> Lexicon:
         return cls(**{f.name: spark.read.parquet(f"{folder}/{f.name}") for f in fields(cls)})
 
+    @classmethod
+    def build(cls, spark: SparkSession, source: str | dict[str, list], folder: str) -> Lexicon:
+        """Read a lexicon (folder or records), keep its tables as Parquet in
+        ``folder``, and open them. The derived tables are made from the written
+        ones, so that they are planned on leaves."""
+        base = load(spark, source, derive=False)
+        base.save(folder)
+        names = [f.name for f in fields(cls) if getattr(base, f.name) is not None]
+        lex = cls(**{f.name: spark.read.parquet(f"{folder}/{f.name}") if f.name in names else None for f in fields(cls)})
+        rest = cls(**{f.name: None for f in fields(cls)} | {"stem_index": stem_index(lex), "reading": readings(lex)})
+        rest.save(folder)
+        return cls.open(spark, folder)
+
 
 def clitics(spark, folder, name) -> DataFrame:
     rows = read_map(spark, folder, FILES[name], _CLITIC).select("key", F.posexplode("value").alias("ord", "c"))
@@ -146,7 +159,7 @@ def _pair(c: str, name: str) -> list[Column]:
     return [parts[0].cast("int").alias(f"{name}_len"), parts[1].cast("int").alias(f"{name}_id")]
 
 
-def load(spark: SparkSession, folder: str | dict[str, list]) -> Lexicon:
+def load(spark: SparkSession, folder: str | dict[str, list], derive: bool = True) -> Lexicon:
     """Read a lexicon folder (or records by file) and derive the dimension tables."""
     m = lambda f, v: read_map(spark, folder, f, v)
     ls = lambda f, r: read_list(spark, folder, f, r)
@@ -210,7 +223,8 @@ def load(spark: SparkSession, folder: str | dict[str, list]) -> Lexicon:
     pattern, unvoweled = _both(spark, folder, pattern_of), _both(spark, folder, unvoweled_of)
     formula, roots, pos = _both(spark, folder, formula_of), _both(spark, folder, roots_of), _both(spark, folder, pos_of)
     lex = Lexicon(clitics(spark, folder, "proclitics"), clitics(spark, folder, "enclitics"), exceptional, tool, pn, pattern, formula, roots, unvoweled, pos, casemood, None, None)  # type: ignore[arg-type]
-    lex.stem_index, lex.reading = stem_index(lex), readings(lex)
+    if derive:
+        lex.stem_index, lex.reading = stem_index(lex), readings(lex)
     return lex
 
 
@@ -246,8 +260,11 @@ def readings(lex: Lexicon) -> DataFrame:
     f = f.withColumn("priority", T.as_score(score))
     used = lex.root_formula.select("cat", "root", F.col("stem_len").alias("len"), F.col("formula_id").alias("id")).distinct()
     rows = used.join(f, ["cat", "len", "id"])
+    # The stem as it is shown: spelt here, once for each root and pattern.
+    bare = T.strip_last_diacritic(F.col("ds"))
     names = ["main", "type", "voice", "person", "person2", "transitivity", "augmented", "emphasized", "definit", "gender", "number", "label"]
     return rows.select(
         "cat", "root", F.col("len").alias("stem_len"), F.col("id").alias("formula_id"), F.col("ds").alias("diac_pattern"), F.col("cs").alias("pattern"),
         T.instantiate(F.col("root"), F.col("dl")).alias("lemma"), F.col("cl").alias("lemma_pattern"), "casemood", "priority", *names,
+        F.when(bare != "-", T.instantiate(F.col("root"), bare)).alias("made"),
     )

@@ -37,12 +37,14 @@ def csv_lines(df: DataFrame) -> DataFrame:
     return cells(df).select(F.concat_ws(",", *[quoted(c) for c in df.columns]).alias("value"))
 
 
-def json_words(words: DataFrame, analyses: DataFrame) -> DataFrame:
-    """One object for each word, with an empty list where none was found."""
+def json_words(words: DataFrame, analyses: DataFrame, order: str | None = None) -> DataFrame:
+    """One object for each word, with an empty list where none was found; sorted
+    by the column ``order`` of ``words`` if given."""
     fields = [c for c in analyses.columns if c not in ("word", "rank", "ord")]
     lists = analyses.groupBy("word").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", F.struct(*fields).alias("a")))), lambda x: x["a"]).alias("analyses"))
     kind = lists.schema["analyses"].dataType
-    rows = words.select("word").join(lists, "word", "left").withColumn("analyses", F.coalesce("analyses", F.array().cast(kind)))
+    rows = words.join(lists, "word", "left").withColumn("analyses", F.coalesce("analyses", F.array().cast(kind)))
+    rows = rows.orderBy(order) if order else rows
     return rows.select(F.to_json(F.struct("word", "analyses"), {"ignoreNullFields": "false"}).alias("value"))
 
 
