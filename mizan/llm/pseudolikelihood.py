@@ -432,11 +432,12 @@ def vocabulary(docs: DataFrame) -> Vocabulary:
 
 
 def _sum(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    weight, total = 0.0, None
-    for batch in batches:
-        for w, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-            x = np.frombuffer(blob, np.float64)
-            weight, total = weight + w, x if total is None else total + x
+    # Few models meet here; summed in one order, whatever order they come in.
+    held = sorted((w, blob) for batch in batches for w, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()))
+    weight, total = sum(w for w, _ in held), None
+    for _, blob in held:
+        x = np.frombuffer(blob, np.float64)
+        total = x if total is None else total + x
     if total is not None:
         yield pa.record_batch([pa.array([weight]), pa.array([total.tobytes()], pa.binary())], ["weight", "total"])
 

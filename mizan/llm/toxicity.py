@@ -380,13 +380,14 @@ def held_out() -> Column:
 
 def sample(docs: DataFrame, labels: DataFrame, most: int = SAMPLE) -> tuple[list[str], list[int]]:
     """At most ``most`` labelled rows of each class, outside the held-out fold,
-    the same ones for the same labels."""
-    chosen = []
+    of texts of at most SAMPLE_CHARS characters, the same ones for the same
+    rows. Texts that occur again count once, as toxic if any of them is."""
     known = labels.where(F.col("doc_id").isNotNull() & ~held_out()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    for kind in (0, 1):
-        chosen.append(known.where(F.col("toxic") == kind).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most))
+    fit = docs.select("doc_id", "text").where(F.length("text") <= SAMPLE_CHARS)
+    known = known.join(fit.select("doc_id").distinct(), "doc_id")
+    chosen = [known.where(F.col("toxic") == kind).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most) for kind in (0, 1)]
     ids = F.broadcast(chosen[0].unionByName(chosen[1]))  # 2 * most narrow rows
-    texts = docs.select("doc_id", "text").where(F.length("text") <= SAMPLE_CHARS).join(ids, "doc_id").dropDuplicates(["text"])
+    texts = fit.join(ids, "doc_id").groupBy("text").agg(F.min("doc_id").alias("doc_id"), F.max("toxic").alias("toxic"))
     rows = sorted(texts.select("doc_id", "toxic", "text").collect())
     return [r["text"] for r in rows], [r["toxic"] for r in rows]
 
