@@ -126,6 +126,14 @@ def slots(df: DataFrame, group: str, key: str, n_rows: int, out: str) -> DataFra
     )
 
 
+def even_keys(spark: SparkSession, parts: int) -> list[int]:
+    """Numbers, one for each of ``parts`` tasks, that repartition(parts, key)
+    deals to different tasks; so no task gets the keys of several."""
+    ids = spark.range(parts * 24).select(F.col("id").cast("int").alias("k")).withColumn("b", F.pmod(F.hash("k"), F.lit(parts)))
+    found = {r["b"]: r["k"] for r in ids.groupBy("b").agg(F.min("k").alias("k")).collect()}
+    return [found.get(b, b) for b in range(parts)]
+
+
 def text_or_empty(text: str = "text") -> Column:
     return F.coalesce(F.col(text).cast("string"), F.lit(""))
 

@@ -37,8 +37,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mizan.llm.common import documents, text_or_empty, written
-from mizan.llm.textkit import chunks, mix, word_hashes, words
+from mizan.llm.common import documents, even_keys, text_or_empty, written
+from mizan.llm.textkit import chunks, mix, released, word_hashes, words
 
 #: Classes, tokens in a class; tokens for rare words; 0 stands for the edge.
 CLASSES, PER_CLASS, RARE = 32, 32, 63
@@ -389,6 +389,7 @@ def _places(sizes: np.ndarray) -> np.ndarray:
     return np.repeat(first - np.cumsum(sizes) + sizes, sizes) + np.arange(sizes.sum())
 
 
+@released
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     counts: Counter = Counter()
     for batch in batches:
@@ -491,6 +492,7 @@ def train(docs: DataFrame, frequent: Vocabulary) -> np.ndarray:
     for whole in (False, True):
         held = sc.broadcast((flat, frequent.parts()))
 
+        @released
         def run(batches: Iterator[pa.RecordBatch], whole=whole, held=held) -> Iterator[pa.RecordBatch]:
             start, known = held.value
             trainer, tokens, seen = Trainer(unpack(start), Tail(*known).load(start)), Tokens(known[0]), 0
@@ -526,17 +528,18 @@ def train(docs: DataFrame, frequent: Vocabulary) -> np.ndarray:
     return flat
 
 
-def _deal(parts: int, hashes: np.ndarray, *values: np.ndarray) -> Iterator[pa.RecordBatch]:
+def _deal(keys: list[int], hashes: np.ndarray, *values: np.ndarray) -> Iterator[pa.RecordBatch]:
     """Hashes and values as bytes, by the part that owns the hash."""
-    part = (mix(hashes) % np.uint64(parts)).astype(np.int64)
+    part = (mix(hashes) % np.uint64(len(keys))).astype(np.int64)
     order = np.argsort(part, kind="stable")
-    ends = np.cumsum(np.bincount(part, minlength=parts))
+    ends = np.cumsum(np.bincount(part, minlength=len(keys)))
     for p, (a, b) in enumerate(zip(np.append(0, ends), ends)):
         if b > a:
             packed = [x[order[a:b]].tobytes() for x in (hashes, *values)]
-            yield pa.record_batch([pa.array([p], pa.int32()), *(pa.array([x], pa.binary()) for x in packed)], ["p", "word", "row", "n"])
+            yield pa.record_batch([pa.array([keys[p]], pa.int32()), *(pa.array([x], pa.binary()) for x in packed)], ["p", "word", "row", "n"])
 
 
+@released
 def _shares(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """For each document, by row, the logarithms of its rare words' counts;
     counted words come with row -1. Words without a count have 1."""
@@ -582,17 +585,20 @@ def score(docs: DataFrame, flat: np.ndarray, frequent: Vocabulary) -> DataFrame:
     rare = d.agg(F.sum(F.length("rare"))).first()[0] or 0
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), rare // 8 // TASK_WORDS + 1)
 
+    keys = even_keys(spark, parts)
+
+    @released
     def used(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             blobs = batch.column(1).to_pylist()
             hashes = np.frombuffer(b"".join(blobs), np.uint64)
             row = np.repeat(batch.column(0).to_numpy(zero_copy_only=False), [len(x) // 8 for x in blobs])
-            yield from _deal(parts, hashes, row, np.ones(len(row), np.int64))
+            yield from _deal(keys, hashes, row, np.ones(len(row), np.int64))
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             n = batch.column(1).to_numpy(zero_copy_only=False)
-            yield from _deal(parts, _hashes(batch.column(0).to_pylist()), np.full(len(n), -1), n)
+            yield from _deal(keys, _hashes(batch.column(0).to_pylist()), np.full(len(n), -1), n)
 
     kinds = "p int, word binary, row binary, n binary"
     packed = d.select("_row", "rare").mapInArrow(used, kinds).union(frequent.table.select("word", "n").mapInArrow(counted, kinds))

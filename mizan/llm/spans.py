@@ -43,8 +43,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mizan.llm.common import documents, maybe_broadcast, scoped, written
-from mizan.llm.textkit import _power_tables, chunks, mix, word_hashes, words
+from mizan.llm.common import documents, even_keys, maybe_broadcast, scoped, written
+from mizan.llm.textkit import _power_tables, chunks, mix, released, word_hashes, words
 
 MIN_WORDS, ALONE, WINDOW, MARKS, STOPS, SEVERAL = 24, 40, 7, b".!?,;:", b".!?", 2
 TASK_RUNS = 2_000_000
@@ -122,7 +122,10 @@ def _layout(texts: pa.Array) -> Iterator[tuple]:
         yield row, data, offsets, start, bounds, *sentences(data, start, end, h, bounds), h
 
 
-def _emit(parts: int, least: int):
+def _emit(keys: list[int], least: int):
+    parts = len(keys)
+
+    @released
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids, marks = batch.column(0).to_numpy(zero_copy_only=False), batch.column(1).to_numpy(zero_copy_only=False)
@@ -146,7 +149,7 @@ def _emit(parts: int, least: int):
             *columns, later, part = _taken([*columns, later, part], order)
             at = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]]))
             for s, e in zip(at, np.append(at[1:], len(part))):
-                yield pa.record_batch([pa.array([int(part[s])], pa.int32()), *(pa.array([x[s:e].tobytes()], pa.binary()) for x in (*columns, later))], ["p", "code", "other", "doc", "mark", "a", "b", "later"])
+                yield pa.record_batch([pa.array([keys[part[s]]], pa.int32()), *(pa.array([x[s:e].tobytes()], pa.binary()) for x in (*columns, later))], ["p", "code", "other", "doc", "mark", "a", "b", "later"])
 
     return run
 
@@ -168,6 +171,7 @@ def _same(columns: list[np.ndarray]) -> np.ndarray:
 _KINDS = (_U, np.uint32, np.int64, np.int64, np.int32, np.int32, np.bool_)
 
 
+@released
 def _repeats(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Places of runs that are not the first of their hash."""
 
@@ -198,7 +202,7 @@ def repeated(docs: DataFrame, least: int = MIN_WORDS) -> DataFrame:
     base = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))).alias("doc_id"), F.xxhash64("text").alias("mark"), F.col("text").cast("string").alias("text"))
     size = docs.select(F.sum(F.length("text"))).first()[0] or 0
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), size // 40 // TASK_RUNS + 1)
-    packed = base.mapInArrow(_emit(parts, least), "p int, code binary, other binary, doc binary, mark binary, a binary, b binary, later binary")
+    packed = base.mapInArrow(_emit(even_keys(spark, parts), least), "p int, code binary, other binary, doc binary, mark binary, a binary, b binary, later binary")
     found = packed.repartition(parts, "p").mapInArrow(_repeats, "doc_id long, mark long, a int, b int")
     kind = "array<struct<a:int,b:int>>"
 
@@ -213,6 +217,7 @@ def repeated(docs: DataFrame, least: int = MIN_WORDS) -> DataFrame:
     return spans.withColumn("spans", F.aggregate("spans", F.array().cast(kind), joined))
 
 
+@released
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Texts without the sentences that the spans cover."""
     for batch in batches:
