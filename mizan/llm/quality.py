@@ -87,7 +87,8 @@ def features(docs: DataFrame) -> DataFrame:
 
 
 def rules() -> dict[str, Column]:
-    """Name to vote. Each rule abstains where its measure says nothing."""
+    """Name to vote. Each rule abstains where its measure says nothing. All can
+    vote bad on documents that pass the base rules: their bounds are tighter."""
     per_word = lambda c: F.col(c) / F.greatest(F.col("n_words"), F.lit(1))
     per_letter = lambda c: F.col(c) / F.greatest(F.col("word_chars"), F.lit(1))
     vote = lambda bad, good: F.when(bad, -1).when(good, 1).otherwise(0)
@@ -95,12 +96,11 @@ def rules() -> dict[str, Column]:
     dup = F.col("n_dup_lines") / F.greatest(F.col("n_lines"), F.lit(1))
     variety = F.col("n_distinct") / F.sqrt(F.greatest(F.col("n_words"), F.lit(1)))
     return {
-        "length": vote(length < 10, length >= 40),
+        "length": vote(length < 20, length >= 40),
         "word_length": vote((mean < 2.5) | (mean > 12), (mean >= 3) & (mean <= 10)),
-        "symbols": vote(per_word("n_symbols") > 0.1, per_word("n_symbols") < 0.02),
-        "marked_text": vote(F.col("n_symbols") / F.greatest(F.col("word_chars"), F.lit(1)) > 0.02, F.col("n_symbols") / F.greatest(F.col("word_chars"), F.lit(1)) < 0.005),
+        "symbols": vote(per_letter("n_symbols") > 0.02, per_letter("n_symbols") < 0.005),
         "line_copies": vote(dup > 0.3, (dup < 0.1) & (F.col("n_lines") > 3)),
-        "repeats": vote(per_word("n_repeat_words") > 0.2, (per_word("n_repeat_words") < 0.05) & (length >= 40)),
+        "repeats": vote(per_word("n_repeat_words") > 0.1, (per_word("n_repeat_words") < 0.02) & (length >= 40)),
         "capitals": vote(per_letter("n_upper") > 0.4, per_letter("n_upper") < 0.15),
         "shouting": vote(per_word("n_shouts") > 0.2, per_word("n_shouts") < 0.02),
         "function_words": vote((F.col("n_stop") == 0) & (length >= 20), F.col("n_stop") >= 2),
@@ -145,7 +145,7 @@ def score_quality(docs: DataFrame) -> DataFrame:
     f = features(docs).withColumns({f"vote_{k}": v.cast("int") for k, v in votes.items()})
     f = written(f, "votes")
     names = [f"vote_{k}" for k in votes]
-    # At most 3 ** 10 patterns. What the base rules fail needs no estimate.
+    # At most 3 ** 9 patterns. What the base rules fail needs no estimate.
     counted = f.where(~_base_failed()).groupBy(*names).count().collect()
     patterns = sorted((tuple(r[k] for k in names), r["count"]) for r in counted)
     prior, chances = estimate(patterns)
