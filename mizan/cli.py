@@ -8,7 +8,7 @@ import sys
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
-from mizan import __version__
+from mizan import __version__, schemas
 from mizan.operators.collapse import exploded
 from mizan.plans.analyze import analyze_words
 from mizan.plans.disambiguate import analyze_text
@@ -38,7 +38,7 @@ def _show(df, how: str) -> None:
         print(sinks.table(df))
         return
     if how == "csv":
-        print(",".join(df.columns))
+        print(",".join(df.columns))  # names need no quotes
     lines = {"raw": sinks.raw_lines, "csv": sinks.csv_lines, "json": sinks.json_rows}[how](df)
     for r in lines.collect():
         print(r["value"])
@@ -52,17 +52,19 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
         words = args.words or sys.stdin.read().split()
         df = spark.createDataFrame([(i, w) for i, w in enumerate(words)], "word_ix int, word string")
         found = analyze_words(df, lex)
-        if args.format == "json" and not args.inflections:
-            for r in sinks.json_words(df, found, "word_ix").collect():
+        columns = schemas.INFLECTED_COLUMNS if args.inflections else schemas.ANALYZE_COLUMNS
+        rows = exploded(found) if args.inflections else found.withColumn("inflection_ix", F.lit(0))
+        if args.format == "json":
+            fields = [*columns[1:], *([] if args.inflections else ["inflections"])]
+            for r in sinks.json_words(df, rows, fields, "word_ix").collect():
                 print(r["value"])
             return 0
-        rows = df.join(exploded(found) if args.inflections else found.drop("inflections"), "word").orderBy("word_ix", "rank").drop("word_ix", "ord", "rank")
-        _show(rows, args.format)
+        _show(df.join(rows, "word").orderBy("word_ix", "rank", "inflection_ix").select(*columns), args.format)
         return 0
     text = " ".join(args.words) if args.words else sys.stdin.read()
     docs = spark.createDataFrame([(0, text)], "doc_id int, text string")
     lm = language_model.load(spark, args.lexicon, args.model) if args.lexicon else demo_model(spark)
-    _show(analyze_text(docs, lex, lm).orderBy("sentence_ix", "token_ix").drop("doc_id", "sentence_ix", "token_ix"), args.format)
+    _show(analyze_text(docs, lex, lm).orderBy("sentence_ix", "token_ix").select(*schemas.TEXT_COLUMNS), args.format)
     return 0
 
 

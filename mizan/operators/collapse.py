@@ -45,6 +45,7 @@ def ranked(analyses: DataFrame) -> DataFrame:
 
 
 def exploded(analyses: DataFrame) -> DataFrame:
-    """One row for each inflection, whose fields replace the reading's."""
-    rows = analyses.select("*", F.posexplode("inflections").alias("inflection_ix", "i")).drop("inflections", "score", "diacritized")
-    return rows.select("*", "i.*").drop("i")
+    """One row for each inflection: the reading's fields, ``inflected`` (the
+    inflection's form), its case, mood, state and score."""
+    rows = analyses.select("*", F.posexplode("inflections").alias("inflection_ix", "i")).drop("inflections", "score")
+    return rows.select("*", F.col("i.diacritized").alias("inflected"), "i.case", "i.mood", "i.state", "i.score").drop("i")

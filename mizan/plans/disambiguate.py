@@ -88,3 +88,8 @@ def disambiguate(tokens: DataFrame, lex: Lexicon, lm: LanguageModel) -> DataFram
 
 def analyze_text(docs: DataFrame, lex: Lexicon, lm: LanguageModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     return disambiguate(materialized(tokens(docs, id_col, text_col), "tokens"), lex, lm)
+
+
+def lemmatize(docs: DataFrame, lex: Lexicon, lm: LanguageModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The tokens with their lemmas alone."""
+    return analyze_text(docs, lex, lm, id_col, text_col).select(*SENTENCE, "token_ix", "token", "lemma")

@@ -397,7 +397,7 @@ def top_reading_per_order(spark: SparkSession, sf_dir: str) -> DataFrame:
 def explode_inflections(spark: SparkSession, sf_dir: str) -> DataFrame:
     from mizan.plans.analyze import analyze_words
 
-    return exploded(analyze_words(lexical_words(spark, sf_dir), lexicon(spark))).select("word", "rank", "inflection_ix", "diacritized", "case", "mood", "state", "score")
+    return exploded(analyze_words(lexical_words(spark, sf_dir), lexicon(spark))).select("word", "rank", "inflection_ix", "inflected", "case", "mood", "state", "score")
 
 
 _RUN = f"regexp_extract(word, '([{DIACRITICS}]+)$', 1)"

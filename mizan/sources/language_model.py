@@ -10,9 +10,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from mizan.functions import text as T
+from mizan.plans.tables import materialized
 from mizan.sources.lexicon import CORPUS_COUNTS, read_map
 
-_ROW = "kind string, head string, head_freq double, tag string, freq double"
+_ROW = "n long, j int, kind string, head string, head_freq double, tag string, freq double"
 
 
 @dataclass
@@ -43,25 +44,34 @@ def fields(line: str) -> list[tuple[str, float]]:
 def _parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
         rows = []
-        for line in batch["value"]:
+        for at, line in zip(batch["n"], batch["value"]):
             if line.startswith("S0"):
-                rows.append(("S0", "", float(line[3:]), "", 0.0))
+                rows.append((at, 0, "S0", "", float(line[3:]), "", 0.0))
             elif line.startswith("S1"):
                 size = int(line[3:5])
-                rows.append(("S1", "", 0.0, line[6 : 6 + size], float(line[7 + size :])))
+                rows.append((at, 0, "S1", "", 0.0, line[6 : 6 + size], float(line[7 + size :])))
             elif line[:1] in ("A", "B"):
                 (head, count), *items = fields(line)
-                rows += [(line[0], head, count, tag, n) for tag, n in items]
-        yield pd.DataFrame(rows, columns=["kind", "head", "head_freq", "tag", "freq"])
+                rows += [(at, j, line[0], head, count, tag, n) for j, (tag, n) in enumerate(items)]
+        yield pd.DataFrame(rows, columns=["n", "j", "kind", "head", "head_freq", "tag", "freq"])
 
 
 def from_lines(lines: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """start, emission and transition tables from a column ``value`` of lines.
-    The model has one total, which all start counts share."""
-    rows = lines.where("value <> ''").mapInPandas(_parse, _ROW).persist()
-    total = rows.where("kind = 'S0'").agg(F.max("head_freq").alias("total"))
-    start = rows.where("kind = 'S1'").select(T.to_arabic(F.col("tag")).alias("lemma"), "freq").crossJoin(F.broadcast(total))
-    pair = lambda kind, a, b: rows.where(F.col("kind") == kind).select(T.to_arabic(F.col("head")).alias(a), T.to_arabic(F.col("tag")).alias(b), (F.col("freq") / F.col("head_freq")).alias("p"))
+    Lines are taken in their order in the file: a start count has the total
+    before it, and of entries with one key the last counts."""
+    numbered = lines.withColumn("n", F.monotonically_increasing_id()).where("value <> ''").select("n", "value")
+    rows = materialized(numbered.mapInPandas(_parse, _ROW), "model")
+    # A model has one total, or a few.
+    totals = rows.where("kind = 'S0'").select(F.col("n").alias("n0"), F.col("head_freq").alias("total"))
+    first = rows.where("kind = 'S1'").select("n", T.to_arabic(F.col("tag")).alias("lemma"), "freq")
+    first = first.join(F.broadcast(totals), F.col("n0") < F.col("n"), "left").groupBy("n", "lemma", "freq").agg(F.coalesce(F.max_by("total", "n0"), F.lit(0.0)).alias("total"))
+    start = first.groupBy("lemma").agg(F.max_by(F.struct("total", "freq"), "n").alias("x")).select("lemma", "x.total", "x.freq")
+
+    def pair(kind: str, a: str, b: str) -> DataFrame:
+        named = rows.where(F.col("kind") == kind).select("n", "j", T.to_arabic(F.col("head")).alias(a), T.to_arabic(F.col("tag")).alias(b), (F.col("freq") / F.col("head_freq")).alias("p"))
+        return named.groupBy(a, b).agg(F.max_by("p", F.struct("n", "j")).alias("p"))
+
     return start, pair("B", "unv", "lemma"), pair("A", "l1", "l2")
 
 

@@ -126,6 +126,18 @@ class Lexicon:
         with ThreadPoolExecutor(8) as pool:
             list(pool.map(one, [f for f in fields(self) if getattr(self, f.name) is not None]))
 
+    @classmethod
+    def manifest(cls, spark: SparkSession, folder: str) -> DataFrame:
+        """name, rows and bytes of each table of a built lexicon."""
+        jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+
+        def size(name: str) -> int:
+            at = jvm.org.apache.hadoop.fs.Path(f"{folder}/{name}")
+            return at.getFileSystem(conf).getContentSummary(at).getLength()
+
+        found = [(f.name, spark.read.parquet(f"{folder}/{f.name}").count(), size(f.name)) for f in fields(cls)]
+        return spark.createDataFrame(found, "name string, rows long, bytes long")
+
     @classmethod
     def open(cls, spark: SparkSession, folder: str) -> Lexicon:
         return cls(**{f.name: spark.read.parquet(f"{folder}/{f.name}") for f in fields(cls)})

@@ -37,15 +37,20 @@ def csv_lines(df: DataFrame) -> DataFrame:
     return cells(df).select(F.concat_ws(",", *[quoted(c) for c in df.columns]).alias("value"))
 
 
-def json_words(words: DataFrame, analyses: DataFrame, order: str | None = None) -> DataFrame:
-    """One object for each word, with an empty list where none was found; sorted
-    by the column ``order`` of ``words`` if given."""
-    fields = [c for c in analyses.columns if c not in ("word", "rank", "ord")]
-    lists = analyses.groupBy("word").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", F.struct(*fields).alias("a")))), lambda x: x["a"]).alias("analyses"))
+def json_words(words: DataFrame, rows: DataFrame, fields: list[str], order: str) -> DataFrame:
+    """One object for each word, sorted by the column ``order`` of ``words``: its
+    analyses with ``fields``, by rank, or an empty list where none was found.
+    ``rows`` has rank and inflection_ix."""
+    one = F.struct("rank", "inflection_ix", F.struct(*fields).alias("a"))
+    lists = rows.groupBy("word").agg(F.transform(F.array_sort(F.collect_list(one), lambda x, y: _by_place(x, y)), lambda x: x["a"]).alias("analyses"))
     kind = lists.schema["analyses"].dataType
-    rows = words.join(lists, "word", "left").withColumn("analyses", F.coalesce("analyses", F.array().cast(kind)))
-    rows = rows.orderBy(order) if order else rows
-    return rows.select(F.to_json(F.struct("word", "analyses"), {"ignoreNullFields": "false"}).alias("value"))
+    out = words.join(lists, "word", "left").withColumn("analyses", F.coalesce("analyses", F.array().cast(kind))).orderBy(order)
+    return out.select(F.to_json(F.struct("word", "analyses"), {"ignoreNullFields": "false"}).alias("value"))
+
+
+def _by_place(x: Column, y: Column) -> Column:
+    place = lambda a: F.struct(a["rank"], a["inflection_ix"])
+    return F.when(place(x) < place(y), -1).when(place(x) > place(y), 1).otherwise(0)
 
 
 def json_rows(df: DataFrame) -> DataFrame:
