@@ -59,10 +59,9 @@ def disambiguate(tokens: DataFrame, lex: Lexicon, lm: LanguageModel) -> DataFram
     kinds = kinds.withColumn("bo", F.coalesce("bo", F.lit(BACKOFF))).withColumn("b", F.coalesce("b", "bo"))
     of = kinds.groupBy("token", "analyzed").agg(F.array_sort(F.collect_list(F.struct("k", "lemma", "b", "bo", "total", "freq"))).alias("c"))
     of = materialized(of.withColumn("start", start_row(F.col("c"))), "candidates")
-    occ = tokens.join(of, "token")
     n = tokens.groupBy(*SENTENCE).agg(F.count(F.lit(1)).alias("n"))
     # Neighbouring pairs of different words and whether they open a sentence.
-    one = occ.select(*SENTENCE, (F.col("token_ix") + 1).alias("token_ix"), F.col("token").alias("t1"))
+    one = tokens.select(*SENTENCE, (F.col("token_ix") + 1).alias("token_ix"), F.col("token").alias("t1"))
     pairs = tokens.join(one, [*SENTENCE, "token_ix"]).withColumn("opens", F.col("token_ix") == 1)
     distinct = pairs.select("t1", "token", "opens").distinct()
     left = of.select(F.col("token").alias("t1"), F.inline(F.arrays_zip("c", "start"))).select("t1", F.col("c.k").alias("k1"), F.col("c.lemma").alias("l1"), F.col("c.b").alias("b1"), F.col("c.bo").alias("bo1"), "start")
@@ -76,7 +75,7 @@ def disambiguate(tokens: DataFrame, lex: Lexicon, lm: LanguageModel) -> DataFram
     top = lambda s: F.get(F.transform(F.slice(F.array_sort(F.transform(s, lambda x: F.struct((-x["acc"]).alias("v"), x["k2"].alias("k")))), 1, 1), lambda x: x["k"]), F.lit(0))
     last = top(F.element_at(F.col("steps"), -1)["s"])
     path = F.aggregate(F.reverse("steps"), F.array(last), lambda a, x: F.concat(F.array(F.get(x["s"], F.get(a, F.lit(0)))["back"]), a))
-    alone = occ.join(n.where("n = 1"), SENTENCE).select(*SENTENCE, F.array(F.get(F.transform(F.slice(F.array_sort(F.transform("start", lambda v, i: F.struct((-(v + ALONE)).alias("v"), i.alias("k")))), 1, 1), lambda x: x["k"]), F.lit(0))).alias("path"))
+    alone = tokens.join(n.where("n = 1"), SENTENCE).join(of, "token").select(*SENTENCE, F.array(F.get(F.transform(F.slice(F.array_sort(F.transform("start", lambda v, i: F.struct((-(v + ALONE)).alias("v"), i.alias("k")))), 1, 1), lambda x: x["k"]), F.lit(0))).alias("path"))
     paths = walked.select(*SENTENCE, path.alias("path")).unionByName(alone).select(*SENTENCE, F.posexplode("path").alias("token_ix", "k"))
     paths = materialized(paths, "paths")
     chosen = tokens.join(paths, [*SENTENCE, "token_ix"]).join(of, "token")

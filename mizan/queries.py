@@ -400,6 +400,18 @@ def explode_inflections(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exploded(analyze_words(lexical_words(spark, sf_dir), lexicon(spark))).select("word", "rank", "inflection_ix", "inflected", "case", "mood", "state", "score")
 
 
+def text_lemmas(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lemma, stem and root of each token in texts: the words of a customer's
+    orders, by order key."""
+    from mizan.cli import demo_model
+    from mizan.plans.disambiguate import analyze_text
+
+    words = lexical_words(spark, sf_dir).join(spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_orderkey", "o_custkey"), "o_orderkey")
+    line = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("o_orderkey", "word"))), lambda x: x["word"]), " ")
+    docs = words.groupBy(F.col("o_custkey").alias("doc_id")).agg(line.alias("text"))
+    return analyze_text(docs, lexicon(spark), demo_model(spark))
+
+
 _RUN = f"regexp_extract(word, '([{DIACRITICS}]+)$', 1)"
 _TAIL = f"regexp_extract(word, '([{DIACRITICS}]+)[اى]$', 1)"
 _KEEP = "CASE WHEN contains({0}, 'ّ') THEN 'ّ' ELSE '' END"
@@ -433,6 +445,7 @@ QUERIES = {
     "word_readings": (word_readings, None),
     "top_reading_per_order": (top_reading_per_order, None),
     "explode_inflections": (explode_inflections, None),
+    "text_lemmas": (text_lemmas, None),
 }
 
 
