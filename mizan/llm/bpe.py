@@ -33,6 +33,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from mizan.llm.common import documents, text_or_empty, written
+from mizan.llm.textkit import CACHES, released
 
 #: Fixed value: the pre-tokenizer's pattern of the byte-level vocabularies.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -279,6 +280,7 @@ class Coder:
 
 
 _CODERS: dict[str, Coder] = {}
+CACHES[__name__] = _CODERS.clear
 
 
 def coder(name: str) -> Coder:
@@ -289,6 +291,7 @@ def coder(name: str) -> Coder:
     return _CODERS[name]
 
 
+@released
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     find, counts = regex.compile(PATTERN).findall, Counter()
 
@@ -340,6 +343,7 @@ def build(docs: DataFrame, vocabulary: str | None = None, most: int = LEXICON) -
 def encode_digests(docs: DataFrame, name: str) -> DataFrame:
     """doc_id, n_tokens, ids_sha256 and decoded_sha256 of each whole text."""
 
+    @released
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         digests = coder(name).digests
         for batch in batches:
@@ -352,6 +356,7 @@ def encode_digests(docs: DataFrame, name: str) -> DataFrame:
 def encode(docs: DataFrame, name: str) -> DataFrame:
     """doc_id and the ids of each whole text."""
 
+    @released
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = coder(name)
         for batch in batches:
@@ -365,6 +370,7 @@ def encode_rows(docs: DataFrame, name: str) -> DataFrame:
     """doc_id, source, n_tokens and the ids of each row as little-endian
     unsigned 32-bit integers, with the hash of what they decode to."""
 
+    @released
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = coder(name)
         for batch in batches:
@@ -381,6 +387,7 @@ def encode_rows(docs: DataFrame, name: str) -> DataFrame:
 def decode(encoded: DataFrame, name: str) -> DataFrame:
     """doc_id and the text that the ids stand for; null ids give empty texts."""
 
+    @released
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         token = coder(name).token
         for batch in batches:

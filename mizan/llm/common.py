@@ -25,7 +25,7 @@ _SCOPES: list[list[str]] = []
 
 #: Rows and bytes of an Arrow batch, so that long texts keep the Python workers'
 #: memory small. A session that sets them itself keeps its own.
-ARROW = {"spark.sql.execution.arrow.maxRecordsPerBatch": "1024", "spark.sql.execution.arrow.maxBytesPerBatch": str(16 << 20)}
+ARROW = {"spark.sql.execution.arrow.maxRecordsPerBatch": "1024", "spark.sql.execution.arrow.maxBytesPerBatch": str(4 << 20)}
 
 
 def small_batches(spark: SparkSession) -> None:

@@ -565,6 +565,7 @@ def score(docs: DataFrame, flat: np.ndarray, frequent: Vocabulary) -> DataFrame:
     spark = docs.sparkSession
     held = spark.sparkContext.broadcast((flat, frequent.parts()))
 
+    @released
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         flat, known = held.value
         p, tokens, tail, rest = unpack(flat), Tokens(known[0]), Tail(*known).load(flat), np.append(0, np.log(known[2] + 1))

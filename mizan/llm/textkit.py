@@ -21,12 +21,28 @@ _BASE = 0xD1342543DE82EF95
 _powers: list[np.ndarray] = [np.ones(0, np.uint64), np.ones(0, np.uint64)]
 
 
+#: What a module keeps in a worker between tasks, as functions that drop it.
+CACHES: dict[str, Callable[[], None]] = {}
+
+
+def entered(module: str) -> None:
+    """A task of ``module`` begins: what other modules keep here goes."""
+    for name, drop in CACHES.items():
+        if name != module:
+            drop()
+
+
 def released(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
-    """A function of batches after which the Python worker, which lives on,
-    gives the memory that it no longer uses back to the system."""
+    """A function of batches before which the Python worker, which lives on,
+    drops what tasks of other modules left, and after which it gives the memory
+    that it no longer uses back to the system."""
+    module = run.__module__
 
     @functools.wraps(run)
     def inner(batches: Iterator) -> Iterator:
+        from mizan.llm import textkit  # the worker's own, not a copy of its names
+
+        textkit.entered(module)
         try:
             yield from run(batches)
         finally:

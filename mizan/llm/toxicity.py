@@ -31,6 +31,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from mizan.llm.common import documents, text_or_empty
+from mizan.llm.textkit import released
 
 #: Words in a window and between the starts of two windows.
 WINDOW, STRIDE = 64, 48
@@ -400,6 +401,7 @@ def score(docs: DataFrame, model: Model | None) -> DataFrame:
     else:
         held = docs.sparkSession.sparkContext.broadcast(model)
 
+        @released
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             scorer = Scorer(held.value)
             for batch in batches:
@@ -417,6 +419,7 @@ def drop_toxic(docs: DataFrame, model: Model | None) -> DataFrame:
         return docs
     held = docs.sparkSession.sparkContext.broadcast(model)
 
+    @released
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(held.value)
         for batch in batches:
