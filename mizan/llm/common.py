@@ -5,6 +5,7 @@ from __future__ import annotations
 
 import atexit
 import functools
+import gc
 import tempfile
 import uuid
 from collections.abc import Callable
@@ -91,6 +92,10 @@ def scoped(operator: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
                 spark = SparkSession.getActiveSession()
             for path in paths if spark is not None else []:
                 _forget(spark, path)
+            if spark is not None:
+                # Spark drops shuffle files when the driver collects its garbage.
+                gc.collect()
+                spark.sparkContext._jvm.System.gc()
 
     return run
 
