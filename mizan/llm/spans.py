@@ -44,7 +44,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from mizan.llm.common import documents, even_keys, maybe_broadcast, scoped, written
-from mizan.llm.textkit import _power_tables, chunks, mix, released, word_hashes, words
+from mizan.llm.textkit import _power_tables, chunks, mix, narrow, released, widened, word_hashes, words
 
 MIN_WORDS, ALONE, WINDOW, MARKS, STOPS, SEVERAL = 24, 40, 7, b".!?,;:", b".!?", 2
 TASK_RUNS = 2_000_000
@@ -122,7 +122,12 @@ def _layout(texts: pa.Array) -> Iterator[tuple]:
         yield row, data, offsets, start, bounds, *sentences(data, start, end, h, bounds), h
 
 
-def _emit(keys: list[int], least: int):
+_NAMES = ["p", "least", "n_docs", "code", "other", "doc", "mark", "count", "a", "length", "later"]
+
+
+def _emit(keys: list[int], least: int, marked: bool = True):
+    """Packs each batch's runs by part. Not ``marked``: no two different
+    documents have one doc_id, so their texts' hashes stay behind."""
     parts = len(keys)
 
     @released
@@ -146,10 +151,16 @@ def _emit(keys: list[int], least: int):
             code, doc = columns[0], columns[2]
             part = (mix(np.where(later, doc.view(_U), code)) % _U(parts)).astype(np.int64)
             order = np.lexsort((columns[4], columns[3], doc, part))  # by document, for compression
-            *columns, later, part = _taken([*columns, later, part], order)
-            at = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]]))
+            code, other, doc, mark, a, b, later, part = _taken([*columns, later, part], order)
+            # A document is named once for each part, with how many runs follow.
+            fresh = ~_same([part, doc, mark])
+            first, at = np.flatnonzero(fresh), np.flatnonzero(~_same([part]))
+            count = np.diff(np.append(first, len(part)))
             for s, e in zip(at, np.append(at[1:], len(part))):
-                yield pa.record_batch([pa.array([keys[part[s]]], pa.int32()), *(pa.array([x[s:e].tobytes()], pa.binary()) for x in (*columns, later))], ["p", "code", "other", "doc", "mark", "a", "b", "later"])
+                x, y = np.searchsorted(first, [s, e])
+                least_doc, own = int(doc[s:e].min()), first[x:y]
+                blobs = [code[s:e].tobytes(), other[s:e].tobytes(), narrow(doc[own].view(_U) - _U(least_doc % 2**64)), mark[own].tobytes() if marked else b"", narrow(count[x:y]), narrow(a[s:e]), narrow(b[s:e] - a[s:e]), np.packbits(later[s:e]).tobytes()]
+                yield pa.record_batch([pa.array([keys[part[s]]], pa.int32()), pa.array([least_doc], pa.int64()), pa.array([y - x], pa.int32()), *(pa.array([z], pa.binary()) for z in blobs)], _NAMES)
 
     return run
 
@@ -168,7 +179,15 @@ def _same(columns: list[np.ndarray]) -> np.ndarray:
     return np.concatenate([[False], np.logical_and.reduce([x[1:] == x[:-1] for x in columns])])
 
 
-_KINDS = (_U, np.uint32, np.int64, np.int64, np.int32, np.int32, np.bool_)
+def _unpacked(least: int, n_docs: int, code: bytes, other: bytes, doc: bytes, mark: bytes, count: bytes, a: bytes, length: bytes, later: bytes) -> list[np.ndarray]:
+    """The two hashes, document, hash of its text (0 if not sent), first clause,
+    the clause after the last, and ``later`` of each run."""
+    code, count = np.frombuffer(code, _U), widened(count, n_docs)
+    n = len(code)
+    doc = (widened(doc, n_docs).view(_U) + _U(least % 2**64)).view(np.int64)
+    mark = np.frombuffer(mark, np.int64) if mark else np.zeros(n_docs, np.int64)
+    a, length = widened(a, n).astype(np.int32), widened(length, n).astype(np.int32)
+    return [code, np.frombuffer(other, np.uint32), np.repeat(doc, count), np.repeat(mark, count), a, a + length, np.unpackbits(np.frombuffer(later, np.uint8), count=n).astype(bool)]
 
 
 @released
@@ -180,8 +199,8 @@ def _repeats(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     by_part: dict[int, list] = {}
     for batch in batches:
-        for p, *blobs in zip(*(c.to_pylist() for c in batch.columns)):
-            *columns, later = [np.frombuffer(x, k) for x, k in zip(blobs, _KINDS)]
+        for p, *packed in zip(*(c.to_pylist() for c in batch.columns)):
+            *columns, later = _unpacked(*packed)
             if later.any():
                 yield out(_taken(columns, later))
             by_part.setdefault(p, []).append(_taken(columns, ~later))
@@ -196,13 +215,19 @@ def _repeats(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 @scoped
 def repeated(docs: DataFrame, least: int = MIN_WORDS) -> DataFrame:
-    """doc_id, mark (a hash of the text) and spans (struct of clause numbers
-    a, b) of each document that has clauses to remove."""
+    """doc_id, mark (a hash of the text; null if no two texts share a doc_id) and
+    spans (struct of clause numbers a, b) of each document that has clauses to
+    remove."""
     spark = docs.sparkSession
     base = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))).alias("doc_id"), F.xxhash64("text").alias("mark"), F.col("text").cast("string").alias("text"))
     size = docs.select(F.sum(F.length("text"))).first()[0] or 0
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), size // 40 // TASK_RUNS + 1)
-    packed = base.mapInArrow(_emit(even_keys(spark, parts), least), "p int, code binary, other binary, doc binary, mark binary, a binary, b binary, later binary")
+    # One row for each doc_id unless different texts share one.
+    marked = not base.groupBy("doc_id").agg(F.min("mark").alias("lo"), F.max("mark").alias("hi")).where("lo <> hi").isEmpty()
+    if not marked:
+        base = base.withColumn("mark", F.lit(0).cast("long"))
+    blobs = ", ".join(f"{x} binary" for x in _NAMES[3:])
+    packed = base.mapInArrow(_emit(even_keys(spark, parts), least, marked), f"p int, least long, n_docs int, {blobs}")
     found = packed.repartition(parts, "p").mapInArrow(_repeats, "doc_id long, mark long, a int, b int")
     kind = "array<struct<a:int,b:int>>"
 
@@ -213,6 +238,8 @@ def repeated(docs: DataFrame, least: int = MIN_WORDS) -> DataFrame:
         grown = F.struct(end["a"].alias("a"), F.greatest(end["b"], x["b"]).alias("b"))
         return F.when(over, F.concat(F.slice(done, 1, F.size(done) - 1), F.array(grown))).otherwise(F.concat(done, F.array(x)))
 
+    if not marked:
+        found = found.withColumn("mark", F.lit(None).cast("long"))
     spans = found.groupBy("doc_id", "mark").agg(F.array_sort(F.collect_set(F.struct("a", "b"))).alias("spans"))
     return spans.withColumn("spans", F.aggregate("spans", F.array().cast(kind), joined))
 
@@ -257,7 +284,7 @@ def remove_repeats(docs: DataFrame, least: int = MIN_WORDS) -> DataFrame:
     plain = docs.select(F.col("text").cast("string").alias("_t"), *[F.col(c).alias(f"_c{i}") for i, c in enumerate(names)])
     at = names.index("doc_id")
     keyed = plain.withColumns({"_k": F.coalesce(F.col(f"_c{at}").cast("long"), F.lit(-(2**63))), "_m": F.xxhash64("_t")})
-    marked = keyed.join(spans, (keyed["_k"] == spans["doc_id"]) & (keyed["_m"] == spans["mark"]), "left")
+    marked = keyed.join(spans, (keyed["_k"] == spans["doc_id"]) & (spans["mark"].isNull() | (keyed["_m"] == spans["mark"])), "left")
     rest = [f"_c{i}" for i in range(len(names))]
     marked = marked.select("_t", "spans", F.col("_t").isNull().alias("_null"), *rest)
     kinds = ", ".join(f"{c} {marked.schema[c].dataType.simpleString()}" for c in rest)

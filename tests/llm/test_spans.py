@@ -69,3 +69,30 @@ def test_three_short_sentences(spark):
     df = spark.createDataFrame([(1, "Start here now. " + text), (2, text + " And more of it.")], "doc_id long, text string")
     got = {r["doc_id"]: r["text"] for r in spans.remove_repeats(df, 0).collect()}
     assert got == {1: "Start here now. " + text, 2: "And more of it."}
+
+
+def test_ids_that_name_one_text(spark):
+    """Where no two texts share a doc_id their hashes do not travel."""
+    rng = random.Random(5)
+    make = lambda n: " ".join(rng.choice("abcde") + rng.choice("fghij") + rng.choice(["", "", ".", ","]) for _ in range(n))
+    passage = make(70)
+    rows = [((-1) ** i * i * 2**40, make(rng.randrange(30)) + " " + rng.choice([passage, passage[60:], ""]) + " " + make(9)) for i in range(40)]
+    rows += [rows[3], (None, passage), (99, None), (98, "")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    MARKS.update({r["text"]: r["m"] for r in df.selectExpr("text", "xxhash64(text) m").collect()})
+    assert {r["mark"] for r in spans.repeated(df).collect()} == {None}
+    got = [(r["doc_id"], r["text"]) for r in spans.remove_repeats(df).collect()]
+    assert sorted(got, key=str) == sorted(brute(rows, spans.MIN_WORDS), key=str)
+
+
+def test_runs_travel_in_few_bytes():
+    """At most 22 bytes a run, even if each goes to a part of its own."""
+    rng = random.Random(8)
+    texts = [" ".join("".join(rng.choice("abcdefgh") for _ in range(5)) + rng.choice(["", "", "."]) for _ in range(200)) for _ in range(50)]
+    batch = pa.record_batch([pa.array(range(10**12, 10**12 + 50)), pa.array([7] * 50), pa.array(texts)], ["doc_id", "mark", "text"])
+    for parts in (1, 5000):
+        packed = list(spans._emit(list(range(parts)), spans.MIN_WORDS, False)(iter([batch])))
+        runs = [spans._unpacked(*row[1:]) for b in packed for row in zip(*(c.to_pylist() for c in b.columns))]
+        n = sum(len(r[0]) for r in runs)
+        assert n > 5000 and {int(d) for r in runs for d in r[2]} == set(range(10**12, 10**12 + 50))
+        assert sum(len(x) for b in packed for c in b.columns[3:] for x in c.to_pylist()) <= 22 * n
