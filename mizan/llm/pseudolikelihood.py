@@ -28,7 +28,8 @@ table gives an empty result; further input columns are ignored.
 
 from __future__ import annotations
 
-from collections import Counter
+import copy
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -38,7 +39,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from mizan.llm.common import documents, even_keys, text_or_empty, written
-from mizan.llm.textkit import chunks, mix, released, word_hashes, words
+from mizan.llm.textkit import CACHES, chunks, mix, released, word_hashes, words
 
 #: Classes, tokens in a class; tokens for rare words; 0 stands for the edge.
 CLASSES, PER_CLASS, RARE = 32, 32, 63
@@ -48,9 +49,14 @@ HEAD = BASE - RARE - 1
 #: divided by ROOT_PART.
 MIN_COUNT, ROOT_PART = 10, 200
 #: Learning rate of trees and word vectors; their rows, and rare words, that one task averages.
-TAIL_RATE, TASK_ROWS, TASK_WORDS = 0.1, 50_000, 2_000_000
+TAIL_RATE, TASK_ROWS, TASK_WORDS = 0.4, 50_000, 2_000_000
 SIDE, DIM, HIDDEN, BATCH, RATE, SEED = 2, 8, 16, 8192, 0.004, 11
 FAN_IN = 16
+#: Levels of the trees whose decisions are taken for a whole bucket at once, and
+#: the rows that they fill.
+LEVELS, TOP = 6, 33
+#: Bytes of text whose words are counted at once; partial counts that a task holds.
+COUNTED, HELD_WORDS = 4 << 20, 800_000
 
 _SHAPES = {"E": (BASE, DIM), "W": (2 * SIDE * DIM, HIDDEN), "b": (HIDDEN,), "Wc": (HIDDEN, CLASSES), "bc": (CLASSES,), "Wo": (CLASSES, HIDDEN, PER_CLASS), "bo": (CLASSES, PER_CLASS)}
 
@@ -72,6 +78,15 @@ def unpack(flat: np.ndarray) -> dict[str, np.ndarray]:
     return out
 
 
+def _views(flat: np.ndarray) -> dict[str, np.ndarray]:
+    """The same parameters without copies."""
+    out, at = {}, 0
+    for n, s in _SHAPES.items():
+        size = int(np.prod(s))
+        out[n], at = flat[at : at + size].reshape(s), at + size
+    return out
+
+
 _BASE_SIZE = sum(int(np.prod(s)) for s in _SHAPES.values())
 
 
@@ -86,9 +101,13 @@ class Vocabulary(list):
         self.table = table
 
     def parts(self) -> tuple:
-        """What tasks need, to be broadcast."""
+        """What the tail and the tokens are built of."""
         return list(self), self.counts, self.rest
 
+    def packed(self) -> tuple:
+        """A name and the same with hashes for words, to be broadcast."""
+        return uuid.uuid4().hex, _hashes(self), self.counts, self.rest
+
 
 def least(total: int) -> int:
     """Occurrences from which a word has its own parameters."""
@@ -102,7 +121,7 @@ class Tail:
     heap of the others' leaves: node k above 2k and 2k + 1, in row k + 1, leaves
     from S - 1. ``base`` is the softmax token of each token."""
 
-    def __init__(self, words: list[str], counts: np.ndarray, rest: np.ndarray):
+    def __init__(self, words: list[str] | np.ndarray, counts: np.ndarray, rest: np.ndarray):
         bucket = _bucket(_hashes(words[HEAD:]))
         self.base = np.concatenate([np.arange(BASE), bucket + 1]).astype(np.int16)
         owner = np.concatenate([np.arange(RARE), bucket])
@@ -111,13 +130,32 @@ class Tail:
         order = np.argsort(owner, kind="stable")
         place = np.empty(len(owner), np.int64)
         place[order] = np.arange(len(owner)) - first[owner[order]]
-        self.first, self.many, self.rest = first[owner], size[owner] > 1, place == 0
-        self.leaf = np.where(self.rest, 1, size[owner] - 1 + place - 1)
-        self.depth = np.frexp(self.leaf)[1].astype(np.int64) - 1
+        many, self.rest = size[owner] > 1, place == 0
+        leaf = np.where(self.rest, 1, size[owner] - 1 + place - 1)
+        depth = np.frexp(leaf)[1].astype(np.int64) - 1
+        deepest = depth.max(initial=0)
         # Leaves from left to right, so that those below a node are together.
-        aligned = np.where(self.rest, 0, self.leaf << (self.depth.max(initial=0) - self.depth))
-        self.rank = np.empty(len(owner), np.int32)
+        aligned = np.where(self.rest, 0, leaf << (deepest - depth))
+        self.rank = np.empty(len(owner), np.int64)
         self.rank[np.lexsort((aligned, owner))] = np.arange(len(owner))
+        self.owner, self.first, self.size = owner, first, size
+        # The decisions from the root down: row, and -1 or 1 for the child. A
+        # 0 is none, in the bucket's row 0, which is no node. Those of the
+        # first levels are in the first TOP rows of the bucket.
+        self.path = np.repeat(first[owner].astype(np.int32)[None], deepest + 1, 0)
+        self.turn = np.zeros((deepest + 1, len(owner)), np.int8)
+        self.path[0] += many
+        self.turn[0] = np.where(many, np.where(self.rest, -1, 1), 0)
+        for level in range(1, deepest + 1):
+            j = np.flatnonzero(depth >= level)
+            left = depth[j] - level
+            self.path[level, j] += (leaf[j] >> (left + 1)).astype(np.int32) + 1
+            self.turn[level, j] = 2 * ((leaf[j] >> left) & 1) - 1
+        # The first levels of each leaf together: the row within the bucket.
+        self.column = np.zeros((len(owner), LEVELS), np.int8)
+        self.column[:, : deepest + 1] = (self.path[:LEVELS] - first[owner]).T
+        self.side = np.zeros((len(owner), LEVELS), np.int8)
+        self.side[:, : deepest + 1] = self.turn[:LEVELS].T
         mass = np.concatenate([rest, counts[HEAD:]]) + 0.5
         self.start = np.zeros((len(owner), HIDDEN + 1), np.float32)
         for b in range(RARE):
@@ -144,88 +182,139 @@ class Tail:
 
     def train(self) -> None:
         """Squares and uses of each row."""
-        self.node_squares, self.vector_squares = np.ones_like(self.nodes), np.ones_like(self.vectors)
+        self.node_squares, self.vector_squares = np.ones(len(self.nodes), np.float32), np.ones(len(self.vectors), np.float32)
         self.node_uses, self.vector_uses = np.zeros(len(self.nodes), np.float32), np.zeros(len(self.vectors), np.float32)
 
-    def paths(self, target: np.ndarray) -> tuple:
-        """Of targets in a bucket: their places in ``target``, in order of
-        their leaves, and the decision at the root: row, -1 or 1 for the child,
-        and whether there is one. Then which of them are in the heap below, and
-        for these by depth the same."""
+    def leaves(self, target: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, list]:
+        """The places of targets in a bucket, in order of their leaves, the
+        leaves, which of these are below the first levels, and for each bucket
+        the run of its leaves and its first rows."""
         own = np.flatnonzero(((target > 0) & (target <= RARE)) | (target >= BASE))
+        n = max(len(own), 1)
         j = np.where(target[own] >= BASE, target[own] - BASE + RARE, target[own] - 1)
-        by = np.argsort(self.rank[j], kind="stable")
-        own, j = own[by], j[by]
-        rest, many, first = self.rest[j], self.many[j], self.first[j]
-        deep = np.flatnonzero(~rest)
-        leaf = self.leaf[j[deep]]
-        left = self.depth[j[deep]] - np.arange(self.depth.max(initial=0))[:, None]
-        held, left = left > 0, np.maximum(left, 1)
-        sign = (2 * ((leaf >> (left - 1)) & 1) - 1).astype(np.float32)
-        node = first[deep] + np.where(held, (leaf >> left) + 1, 0)
-        return own, first + many, np.where(rest, np.float32(-1), np.float32(1)), many, deep, node, sign, held
-
-    def decide(self, h: np.ndarray, node: np.ndarray, sign: np.ndarray, held: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Rows of the nodes, and the probability of each child that is taken."""
+        key = np.sort(self.rank.take(j) * n + np.arange(len(own)))
+        by = key % n
+        own, j = own.take(by), j.take(by)
+        ends = np.cumsum(np.bincount(self.owner.take(j), minlength=RARE)).tolist()
+        runs = [(a, b, f, min(s, TOP)) for a, b, f, s in zip([0, *ends], ends, self.first.tolist(), self.size.tolist()) if b > a]
+        return own, j, np.flatnonzero(self.turn[LEVELS].take(j)) if len(self.turn) > LEVELS else own[:0], runs
+
+    def above(self, wide: np.ndarray, j: np.ndarray, runs: list) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """For the first levels: the decisions' places in a table of leaves by
+        rows, their signs and the odds against them."""
+        z = np.empty((len(j), TOP), np.float32)
+        for a, b, f, s in runs:
+            np.matmul(wide[a:b], self.nodes[f : f + s].T, out=z[a:b, :s])
+        at = self.column.take(j, 0) + (np.arange(len(j)) * TOP)[:, None]
+        sign = self.side.take(j, 0).astype(np.float32)
+        return at, sign, _odds(z.ravel().take(at), sign)
+
+    def decide(self, wide: np.ndarray, level: int, j: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Below: node of each leaf, its row, sign and odds."""
+        node, sign = self.path[level].take(j), self.turn[level].take(j).astype(np.float32)
         rows = self.nodes.take(node, 0)
-        z = np.einsum("...nk,nk->...n", rows, h)
-        return rows, np.where(held, 1 / (1 + np.exp(np.clip(-sign * z, -60, 60))), np.float32(1))
+        return node, rows, sign, _odds(np.einsum("nk,nk->n", rows, wide), sign)
 
     def log_chances(self, h: np.ndarray, target: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The places of targets in a bucket, and the logarithm of their path."""
-        own, *root, deep, node, sign, held = self.paths(target)
+        own, j, deep, runs = self.leaves(target)
         wide = _wide(h, own)
-        value = np.log(self.decide(wide, *root)[1])
-        value[deep] += np.log(self.decide(wide[deep], node, sign, held)[1]).sum(0)
+        _, sign, odds = self.above(wide, j, runs)
+        value = (np.log1p(odds) * np.abs(sign)) @ np.full(LEVELS, -1, np.float32)
+        wide, j, below = wide.take(deep, 0), j.take(deep), np.zeros(len(deep), np.float32)
+        for level in range(LEVELS, len(self.path)):
+            _, _, sign, odds = self.decide(wide, level, j)
+            below -= np.log1p(odds) * np.abs(sign)
+        value[deep] += below
         return own, value
 
     def learn(self, h: np.ndarray, target: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Changes the nodes; the places in ``target`` and the gradient for ``h``."""
-        own, first, side, many, deep, node, sign, held = self.paths(target)
+        own, j, deep, runs = self.leaves(target)
         wide = _wide(h, own)
-        rows, chance = self.decide(wide, first, side, many)
-        d = (side * (chance - 1))[:, None]
-        grown = d * rows
-        i = np.flatnonzero(many)
-        _descend(self.nodes, self.node_squares, self.node_uses, first[i], d[i] * wide[i])
-        wide = wide[deep]
-        rows, chance = self.decide(wide, node, sign, held)
-        d = sign * (chance - 1)
-        grown[deep] += np.einsum("ln,lnk->nk", d, rows)
-        for at, k in enumerate(d):
-            if held[at].all():
-                _descend(self.nodes, self.node_squares, self.node_uses, node[at], k[:, None] * wide)
-            else:
-                i = np.flatnonzero(held[at])
-                _descend(self.nodes, self.node_squares, self.node_uses, node[at][i], k[i, None] * wide[i])
+        at, sign, odds = self.above(wide, j, runs)
+        # The child's chance less one, in its direction.
+        odds /= 1 + odds
+        d = np.zeros((len(j), TOP), np.float32)
+        d.ravel()[at] = odds * -sign
+        grown, g = np.empty_like(wide), np.zeros((len(runs), TOP, wide.shape[1]), np.float32)
+        for i, (a, b, f, s) in enumerate(runs):
+            np.matmul(d[a:b, :s], self.nodes[f : f + s], out=grown[a:b])
+            np.matmul(d[a:b, :s].T, wide[a:b], out=g[i, :s])
+        # Nodes of each bucket that decided something.
+        bucket = np.repeat(np.arange(len(runs)), [b - a for a, b, _, _ in runs])
+        uses = np.bincount((at + ((bucket - np.arange(len(j))) * TOP)[:, None])[sign != 0])
+        used = np.flatnonzero(uses)
+        if len(used):
+            row = np.array([f for _, _, f, _ in runs])[used // TOP] + used % TOP
+            self.node_uses[row] += uses[used]
+            _step(self.nodes, self.node_squares, row, g.reshape(-1, wide.shape[1])[used])
+        wide, j, below = wide.take(deep, 0), j.take(deep), np.zeros((len(deep), wide.shape[1]), np.float32)
+        for level in range(LEVELS, len(self.path)):
+            node, rows, sign, odds = self.decide(wide, level, j)
+            odds /= 1 + odds
+            odds *= -sign
+            _descend(self.nodes, self.node_squares, self.node_uses, node, odds[:, None] * wide, rows)
+            rows *= odds[:, None]
+            below += rows
+        grown[deep] += below
         return own, grown[:, :HIDDEN]
 
-    def learn_vectors(self, context: np.ndarray, dx: np.ndarray) -> None:
-        i = np.flatnonzero(context >= BASE)
-        by = i[np.argsort(context[i].astype(np.uint16), kind="stable")]  # 16 bits are sorted faster
-        by = by[np.argsort((context[by] >> 16).astype(np.uint16), kind="stable")]
-        _descend(self.vectors, self.vector_squares, self.vector_uses, context[by], dx[by])
+    def learn_vectors(self, token: np.ndarray, grown: np.ndarray) -> None:
+        i = np.flatnonzero(token >= BASE)
+        key = np.sort(token[i].astype(np.int64) * len(token) + i)
+        row = key // max(len(token), 1)
+        _descend(self.vectors, self.vector_squares, self.vector_uses, row, grown.take(key - row * len(token), 0))
 
 
-def _wide(h: np.ndarray, own: np.ndarray) -> np.ndarray:
+def _wide(h: np.ndarray, own: np.ndarray | slice = slice(None)) -> np.ndarray:
     """Hidden layers and a one for the nodes' last column."""
-    return np.concatenate([h[own], np.ones((len(own), 1), h.dtype)], 1)
+    h = h[own]
+    out = np.ones((len(h), h.shape[1] + 1), h.dtype)
+    out[:, :-1] = h
+    return out
 
 
-def _descend(table: np.ndarray, squares: np.ndarray, uses: np.ndarray, row: np.ndarray, g: np.ndarray) -> None:
-    """A step against the gradients ``g`` of rows whose equal ones are together."""
-    if not len(row):
-        return
-    first, n = np.flatnonzero(np.concatenate([[True], row[1:] != row[:-1]])), len(row)
-    row, g = row[first], np.add.reduceat(g, first)
-    uses[row] += np.diff(first, append=n)
-    held = squares.take(row, 0) + g * g
-    squares[row] = held
-    table[row] = table.take(row, 0) - np.float32(TAIL_RATE) * g / np.sqrt(held)
+def _odds(z: np.ndarray, sign: np.ndarray) -> np.ndarray:
+    """Odds against the child on the side of ``sign``."""
+    z *= -sign
+    np.clip(z, -60, 60, out=z)
+    return np.exp(z, out=z)
 
 
-def _hashes(words: list[str]) -> np.ndarray:
-    """A 64-bit hash of each word."""
+def _descend(table: np.ndarray, squares: np.ndarray, uses: np.ndarray, row: np.ndarray, g: np.ndarray, held: np.ndarray | None = None) -> None:
+    """A step against the gradients ``g`` of rows whose equal ones are together;
+    ``held`` is what the table has there, if that is known."""
+    if not len(row):
+        return
+    first = np.flatnonzero(np.concatenate([[True], row[1:] != row[:-1]]))
+    n = np.diff(first, append=len(row))
+    row, total = row.take(first), g.take(first, 0)
+    uses[row] += n
+    # Rows that occur once need no sum.
+    many = np.flatnonzero(n > 1)
+    if len(many):
+        n = n.take(many)
+        begin = np.cumsum(n) - n
+        total[many] = np.add.reduceat(g.take(np.repeat(first.take(many) - begin, n) + np.arange(n.sum()), 0), begin)
+    _step(table, squares, row, total, None if held is None else held.take(first, 0))
+
+
+def _step(table: np.ndarray, squares: np.ndarray, row: np.ndarray, g: np.ndarray, held: np.ndarray | None = None) -> None:
+    """By the squares of each row's gradients so far."""
+    size = squares.take(row)
+    size += np.einsum("nk,nk->n", g, g)
+    squares[row] = size
+    np.sqrt(size, out=size)
+    g *= (np.float32(-TAIL_RATE) / size)[:, None]
+    g += table.take(row, 0) if held is None else held
+    table[row] = g
+
+
+def _hashes(words: list[str] | np.ndarray) -> np.ndarray:
+    """A 64-bit hash of each word; hashes are left as they are."""
+    if isinstance(words, np.ndarray):
+        return words
     found = [word_hashes(data, offsets[:-1], offsets[1:], lower=False) for _, data, offsets in chunks(pa.array(words, pa.string()))]
     return np.concatenate(found) if found else np.zeros(0, np.uint64)
 
@@ -237,17 +326,27 @@ def _bucket(hashes: np.ndarray) -> np.ndarray:
 class Tokens:
     """Token of each word: frequent ones in order, others by hash."""
 
-    def __init__(self, frequent: list[str]):
+    def __init__(self, frequent: list[str] | np.ndarray):
         known = _hashes(frequent)
         order = np.argsort(known)
+        bits = min(len(known).bit_length() + 2, 26)
+        # Where the known hashes of each first bits begin; the last hash is
+        # repeated, so that a look beyond the end finds it or nothing.
+        self.shift = np.uint64(64 - bits)
+        self.first = np.searchsorted(known[order], np.arange(1 << bits, dtype=np.uint64) << self.shift).astype(np.int32)
+        self.most = int(np.diff(self.first, append=len(known)).max())
+        order = np.append(order, np.repeat(order[-1:], self.most + 1))
         self.known, self.token = known[order], (order + 1 + RARE).astype(np.int32)
 
     def of(self, hashes: np.ndarray) -> np.ndarray:
-        out = (_bucket(hashes) + 1).astype(np.int32)
-        if len(self.known):
-            at = np.minimum(np.searchsorted(self.known, hashes), len(self.known) - 1)
-            held = self.known[at] == hashes
-            out[held] = self.token[at[held]]
+        out = np.empty(len(hashes), np.int32)
+        left, at, h = np.arange(len(hashes)), self.first.take((hashes >> self.shift).astype(np.int64)), hashes
+        for _ in range(self.most):
+            held = self.known.take(at) == h
+            out[left[held]] = self.token.take(at[held])
+            miss = np.flatnonzero(~held)
+            left, at, h = left.take(miss), at.take(miss) + 1, h.take(miss)
+        out[left] = _bucket(h) + 1
         return out
 
     def __getitem__(self, word: str) -> int:
@@ -278,27 +377,46 @@ def _lowered(texts) -> pa.Array:
     return pc.utf8_lower(texts.fill_null(""))
 
 
-def _hidden(p: dict, ids: np.ndarray, at: np.ndarray, tail: Tail | None = None):
-    context = np.concatenate([ids[at + o][:, None] for o in range(-SIDE, SIDE + 1) if o], 1)
-    x = p["E"].take(context if tail is None else tail.base[context], 0)
-    if tail is not None:
-        x += tail.vectors.take(context, 0)
-    x = x.reshape(len(at), -1)
-    return context, x, np.tanh(x @ p["W"] + p["b"])
-
-
-def _softmax(z: np.ndarray) -> np.ndarray:
-    """Over rows, in place. Values are far below 80, where float32 ends."""
-    np.exp(np.minimum(z, 80, out=z), out=z)
-    z /= z.sum(1, keepdims=True)
-    return z
+def _offsets() -> list[int]:
+    return [o for o in range(-SIDE, SIDE + 1) if o]
 
 
-def _log_chance(z: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """Logarithm of the softmax at one column of each row."""
-    z = np.minimum(z, 80, out=z)
-    own = z[np.arange(len(z)), at]
-    return own - np.log(np.exp(z, out=z).sum(1))
+def _hidden(p: dict, ids: np.ndarray, at: np.ndarray, order: np.ndarray, tail: Tail | None = None):
+    """Of the places ``at``, which rise: the tokens from the first one's window
+    to the last one's, each place's row among them, and in the given order their
+    windows' vectors and hidden layers."""
+    token = ids[at[0] - SIDE : at[-1] + SIDE + 1]
+    each = p["E"].take(token if tail is None else tail.base.take(token), 0)
+    if tail is not None:
+        each += tail.vectors.take(token, 0)
+    n = len(token) - 2 * SIDE
+    x = np.empty((n, 2 * SIDE, DIM), np.float32)
+    for slot, o in enumerate(_offsets()):
+        x[:, slot] = each[SIDE + o : SIDE + o + n]
+    place = at[order] - at[0]
+    x = x.reshape(n, -1).take(place, 0)
+    h = x @ p["W"]
+    h += p["b"]
+    return token, place, x, np.tanh(h, out=h)
+
+
+def _values(p: dict, h: np.ndarray, target: np.ndarray, spans: list) -> tuple:
+    """The hidden layers with a one behind, the weights with the biases below,
+    before the softmax the values of all classes and below them of all tokens of
+    each target's class, and where in these the target's own are."""
+    n = len(h)
+    wide = _wide(h)
+    outer = np.concatenate([p["Wc"], p["bc"][None]])
+    inner = np.concatenate([p["Wo"], p["bo"][:, None]], 1)
+    z = np.empty((2 * n, PER_CLASS), np.float32)
+    np.matmul(wide, outer, out=z[:n])
+    for c, a, b in spans:
+        np.matmul(wide[a:b], inner[c], out=z[n + a : n + b])
+    np.minimum(z, 80, out=z)  # far above what occurs; float32 ends at 88
+    own = np.arange(2 * n) * PER_CLASS
+    own[:n] += target // PER_CLASS
+    own[n:] += target % PER_CLASS
+    return wide, outer, inner, z, own
 
 
 def _by_class(target: np.ndarray):
@@ -318,11 +436,11 @@ def log_probabilities(p: dict, ids: np.ndarray, at: np.ndarray, tail: Tail | Non
         full = ids[part].astype(np.int64)
         target = full if tail is None else tail.base[full]
         order, spans = _by_class(target)
-        _, _, h = _hidden(p, ids, part[order], tail)
-        target = target[order]
-        value = _log_chance(h @ p["Wc"] + p["bc"], target // PER_CLASS)
-        for c, a, b in spans:
-            value[a:b] += _log_chance(h[a:b] @ p["Wo"][c] + p["bo"][c], target[a:b] % PER_CLASS)
+        *_, h = _hidden(p, ids, part, order, tail)
+        *_, z, own = _values(p, h, target[order], spans)
+        value = z.ravel().take(own)
+        value -= np.log(np.exp(z, out=z) @ np.ones(PER_CLASS, np.float32))
+        value = value[: len(part)] + value[len(part) :]
         if tail is not None:
             own, path = tail.log_chances(h, full[order])
             value[own] += path
@@ -332,11 +450,11 @@ def log_probabilities(p: dict, ids: np.ndarray, at: np.ndarray, tail: Tail | Non
 
 class Trainer:
     def __init__(self, p: dict, tail: Tail | None = None):
-        self.p, self.step, self.tail = {n: v.copy() for n, v in p.items()}, 0, tail
+        self.flat, self.step, self.tail = pack(p).astype(np.float32), 0, tail
+        self.p = _views(self.flat)
         if tail is not None:
             tail.train()
-        self.m = {n: np.zeros_like(v) for n, v in p.items()}
-        self.v = {n: np.zeros_like(v) for n, v in p.items()}
+        self.g, self.m, self.v = (np.zeros_like(self.flat) for _ in range(3))
 
     def learn(self, ids: np.ndarray, at: np.ndarray) -> None:
         for i in range(0, len(at), BATCH):
@@ -347,40 +465,50 @@ class Trainer:
         full = ids[at].astype(np.int64)
         target = full if tail is None else tail.base[full]
         order, spans = _by_class(target)
-        target = target[order]
-        context, x, h = _hidden(p, ids, at[order], tail)
-        rows = np.arange(n)
-        d = _softmax(h @ p["Wc"] + p["bc"])
-        d[rows, target // PER_CLASS] -= 1
-        d /= n
-        g = {"Wc": h.T @ d, "bc": d.sum(0), "Wo": np.zeros_like(p["Wo"]), "bo": np.zeros_like(p["bo"])}
-        dh = d @ p["Wc"].T
+        token, place, x, h = _hidden(p, ids, at, order, tail)
+        wide, outer, inner, z, own = _values(p, h, target[order], spans)
+        # Gradients are sums over the batch until the step.
+        np.exp(z, out=z)
+        z *= (1 / (z @ np.ones(PER_CLASS, np.float32)))[:, None]
+        z.ravel()[own] -= 1
+        g = _views(self.g)
+        self.g[:] = 0
+        weights = wide.T @ z[:n]
+        g["Wc"][:], g["bc"][:] = weights[:HIDDEN], weights[HIDDEN]
+        dh, below = z[:n] @ p["Wc"].T, np.empty((n, HIDDEN), np.float32)
         for c, a, b in spans:
-            e = _softmax(h[a:b] @ p["Wo"][c] + p["bo"][c])
-            e[rows[: b - a], target[a:b] % PER_CLASS] -= 1
-            e /= n
-            g["Wo"][c], g["bo"][c] = h[a:b].T @ e, e.sum(0)
-            dh[a:b] += e @ p["Wo"][c].T
+            e = z[n + a : n + b]
+            weights = wide[a:b].T @ e
+            g["Wo"][c], g["bo"][c] = weights[:HIDDEN], weights[HIDDEN]
+            np.matmul(e, p["Wo"][c].T, out=below[a:b])
+        dh += below
         if tail is not None:
             own, grown = tail.learn(h, full[order])
-            dh[own] += grown / n
-        dh *= 1 - h * h
-        g["W"], g["b"] = x.T @ dh, dh.sum(0)
-        flat = context.ravel()
-        dx = (dh @ p["W"].T).reshape(-1, DIM)
+            dh[own] += grown
+        h *= h
+        dh -= h * dh
+        g["W"][:], g["b"][:] = x.T @ dh, np.ones(n, np.float32) @ dh
+        # What each token's vector gets from the windows that it is in.
+        m = len(token) - 2 * SIDE
+        dx = np.zeros((m, 2 * SIDE, DIM), np.float32)
+        dx.reshape(m, -1)[place] = dh @ p["W"].T
+        each = np.zeros((len(token), DIM), np.float32)
+        for slot, o in enumerate(_offsets()):
+            each[SIDE + o : SIDE + o + m] += dx[:, slot]
         if tail is not None:
-            tail.learn_vectors(flat, dx * n)
-            flat = tail.base[flat]
-        by = np.argsort(flat.astype(np.int16), kind="stable")
-        first = np.flatnonzero(np.concatenate([[True], flat[by][1:] != flat[by][:-1]]))
-        g["E"] = np.zeros_like(p["E"])
-        g["E"][flat[by][first]] = np.add.reduceat(dx[by], first)
+            tail.learn_vectors(token, each)
+            token = tail.base.take(token)
+        by = np.argsort(token.astype(np.int16), kind="stable")
+        token = token.take(by)
+        first = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1]]))
+        g["E"][token[first]] = np.add.reduceat(each.take(by, 0), first)
         self.step += 1
-        scale = RATE * np.sqrt(1 - 0.99**self.step) / (1 - 0.9**self.step)
-        for k in p:
-            self.m[k] += 0.1 * (g[k] - self.m[k])
-            self.v[k] += 0.01 * (g[k] * g[k] - self.v[k])
-            p[k] -= (scale * self.m[k] / (np.sqrt(self.v[k]) + 1e-7)).astype(np.float32)
+        scale = np.float32(RATE * np.sqrt(1 - 0.99**self.step) / (1 - 0.9**self.step))
+        grad = self.g
+        grad /= np.float32(n)
+        self.m += 0.1 * (grad - self.m)
+        self.v += 0.01 * (grad * grad - self.v)
+        self.flat -= scale * self.m / (np.sqrt(self.v) + 1e-7)
 
 
 def _places(sizes: np.ndarray) -> np.ndarray:
@@ -391,19 +519,44 @@ def _places(sizes: np.ndarray) -> np.ndarray:
 
 @released
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    counts: Counter = Counter()
+    held, many = [], 0
     for batch in batches:
-        for text in _lowered(batch.column(0)).cast(pa.binary()).to_pylist():
-            counts.update(text.split())
-        if len(counts) > 400_000:
-            yield _counted(counts)
-            counts = Counter()
-    if counts:
-        yield _counted(counts)
-
-
-def _counted(counts: Counter) -> pa.RecordBatch:
-    return pa.record_batch([pa.array(list(counts), pa.binary()).cast(pa.string()), pa.array(list(counts.values()), pa.int64())], ["word", "n"])
+        for _, data, offsets in chunks(_lowered(batch.column(0)), COUNTED):
+            start, end, _ = words(data, offsets)
+            found, n, first = _grouped(word_hashes(data, start, end, lower=False))
+            start, size = start[first], (end - start)[first]
+            edges = np.append(0, np.cumsum(size))
+            letters = data[np.repeat(start - edges[:-1], size) + np.arange(edges[-1])]
+            held.append((found, n, pa.LargeStringArray.from_buffers(len(start), pa.py_buffer(edges), pa.py_buffer(letters))))
+            many += len(found)
+        if many > HELD_WORDS:
+            held = [_merged(held)]
+            many = len(held[0][0])
+            if 2 * many > HELD_WORDS:
+                yield from _sent(*held[0])
+                held, many = [], 0
+    if held:
+        yield from _sent(*_merged(held))
+
+
+def _grouped(hashes: np.ndarray, n: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The different hashes, how often each occurs, and its first place."""
+    coded = pa.array(hashes).dictionary_encode()
+    place = coded.indices.to_numpy()
+    first = np.empty(len(coded.dictionary), np.int64)
+    first[place[::-1]] = np.arange(len(place) - 1, -1, -1)
+    return coded.dictionary.to_numpy(), np.bincount(place, n, len(first)).astype(np.int64), first
+
+
+def _merged(held: list[tuple]) -> tuple:
+    hashes, n, found = zip(*held)
+    hashes, n, first = _grouped(np.concatenate(hashes), np.concatenate(n))
+    return hashes, n, pa.concat_arrays(found).take(pa.array(first))
+
+
+def _sent(_: np.ndarray, n: np.ndarray, found: pa.Array) -> Iterator[pa.RecordBatch]:
+    for i in range(0, len(n), 100_000):
+        yield pa.record_batch([found[i : i + 100_000].cast(pa.string()), pa.array(n[i : i + 100_000])], ["word", "n"])
 
 
 def _by_bucket(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -455,11 +608,12 @@ def _average(models: DataFrame) -> np.ndarray | None:
     return sum(np.frombuffer(t, np.float64) for _, t in rows) / weight if weight else None
 
 
-def _touched(tail: Tail, start: Tail) -> Iterator[tuple]:
+def _touched(tail: Tail, start: np.ndarray) -> Iterator[tuple]:
     """Part, rows, uses and changes of the tail's used rows; the rows of the
     word vectors come after those of the nodes."""
-    at = 0
-    for table, old, uses in ((tail.nodes, start.nodes, tail.node_uses), (tail.vectors, start.vectors, tail.vector_uses)):
+    at, held = 0, start[_BASE_SIZE:]
+    for table, uses in ((tail.nodes, tail.node_uses), (tail.vectors, tail.vector_uses)):
+        old, held = held[: table.size].reshape(table.shape), held[table.size :]
         rows = np.flatnonzero(uses)
         cut = np.searchsorted((rows + at) // TASK_ROWS, np.arange((at + len(table)) // TASK_ROWS + 2))
         for part, (a, b) in enumerate(zip(cut, cut[1:])):
@@ -484,18 +638,34 @@ def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.record_batch([pa.array([(rows + part * TASK_ROWS).tobytes()], pa.binary()), pa.array([mean.tobytes()], pa.binary()), pa.array([wide], pa.int32())], ["rows", "change", "wide"])
 
 
+#: What a worker builds of the broadcast vocabulary, once for all tasks.
+_BUILT: dict[str, tuple[Tokens, Tail]] = {}
+CACHES[__name__] = _BUILT.clear
+
+
+def _built(name: str, hashes: np.ndarray, counts: np.ndarray, rest: np.ndarray, flat: np.ndarray) -> tuple[Tokens, Tail]:
+    """The tokens, and the tail with its rows in ``flat``."""
+    if name not in _BUILT:
+        _BUILT.clear()
+        _BUILT[name] = Tokens(hashes), Tail(hashes, counts, rest)
+    tokens, tail = _BUILT[name]
+    return tokens, copy.copy(tail).load(flat)
+
+
 def train(docs: DataFrame, frequent: Vocabulary) -> np.ndarray:
     """``docs``: one column, text. Two turns of local training and averaging."""
     sc = docs.sparkSession.sparkContext
     tail = Tail(*frequent.parts())
     flat = np.concatenate([pack(start_model()), tail.nodes.ravel(), tail.vectors.ravel()])
+    known = sc.broadcast(frequent.packed())
     for whole in (False, True):
-        held = sc.broadcast((flat, frequent.parts()))
+        held = sc.broadcast(flat)
 
         @released
         def run(batches: Iterator[pa.RecordBatch], whole=whole, held=held) -> Iterator[pa.RecordBatch]:
-            start, known = held.value
-            trainer, tokens, seen = Trainer(unpack(start), Tail(*known).load(start)), Tokens(known[0]), 0
+            start, seen = held.value, 0
+            tokens, tail = _built(*known.value, start)
+            trainer = Trainer(_views(start), tail)
             for batch in batches:
                 if not whole and seen:
                     continue
@@ -505,7 +675,7 @@ def train(docs: DataFrame, frequent: Vocabulary) -> np.ndarray:
                     seen += int(sizes.sum())
             if seen:
                 model = (pack(trainer.p).astype(np.float64) * seen).tobytes()
-                rows = [(-1, float(seen), None, None, model, 0), *((p, 0.0, r, u, c, w) for p, r, u, c, w in _touched(trainer.tail, Tail(*known).load(start)))]
+                rows = [(-1, float(seen), None, None, model, 0), *((p, 0.0, r, u, c, w) for p, r, u, c, w in _touched(tail, start))]
                 kinds = [pa.int32(), pa.float64(), pa.binary(), pa.binary(), pa.binary(), pa.int32()]
                 for row in rows:
                     yield pa.record_batch([pa.array([x], k) for x, k in zip(row, kinds)], ["part", "weight", "rows", "uses", "total", "wide"])
@@ -563,12 +733,13 @@ def _shares(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def score(docs: DataFrame, flat: np.ndarray, frequent: Vocabulary) -> DataFrame:
     """doc_id, n_tokens, log_likelihood (sum) and mean_log_likelihood."""
     spark = docs.sparkSession
-    held = spark.sparkContext.broadcast((flat, frequent.parts()))
+    held = spark.sparkContext.broadcast((flat, frequent.packed()))
 
     @released
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         flat, known = held.value
-        p, tokens, tail, rest = unpack(flat), Tokens(known[0]), Tail(*known).load(flat), np.append(0, np.log(known[2] + 1))
+        tokens, tail = _built(*known, flat)
+        p, rest = _views(flat), np.append(0, np.log(known[-1] + 1))
         for batch in batches:
             for i in range(0, batch.num_rows, 256):
                 part, rare = batch.slice(i, 256), []
