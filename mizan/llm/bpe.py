@@ -8,8 +8,7 @@ one file that Spark hands to every executor, where it is memory-mapped. Pieces
 that it lacks are merged exactly, pair by pair in rank order.
 
 Defined results: a null text counts as empty and gives no ids; the text of a
-special token becomes its id; texts of any length are encoded whole, in
-batches of pieces; repeated rows give repeated results; an empty table gives
+special token becomes its id; texts of any length are encoded whole; repeated rows give repeated results; an empty table gives
 an empty result; further input columns are ignored.
 """
 
@@ -21,9 +20,7 @@ import mmap
 import os
 import struct
 import tempfile
-from collections import Counter
 from collections.abc import Iterable, Iterator
-from itertools import batched
 
 import numpy as np
 import pyarrow as pa
@@ -33,13 +30,19 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from mizan.llm.common import documents, text_or_empty, written
-from mizan.llm.textkit import CACHES, released
+from mizan.llm.textkit import CACHES, chunks, released
 
 #: Fixed value: the pre-tokenizer's pattern of the byte-level vocabularies.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Most pieces in the automaton, and remembered by a worker.
 LEXICON, REMEMBERED = 65536, 400_000
-_BATCH = 65536
+#: Bytes of text that are cut into pieces at once; a longer text is taken alone.
+CUT = 1 << 20
+#: What the pattern tells apart: other characters, letters, digits, white space.
+_OTHER, _LETTER, _DIGIT, _SPACE, _UNSEEN = range(5)
+_KIND = np.full(0x110000, _UNSEEN, np.uint8)
+#: Letters of the contractions, after the apostrophe.
+_SHORT = {b"s": 1, b"t": 1, b"m": 1, b"d": 1, b"re": 2, b"ve": 2, b"ll": 2}
 
 
 def default_vocabulary() -> str:
@@ -121,6 +124,70 @@ def _merge_long(out: list[int], ranks) -> list[int]:
     return [t for t, ok in zip(out, alive) if ok]
 
 
+def _kinds(codes: np.ndarray) -> np.ndarray:
+    """The kind of each character; one not met before is asked of ``regex``."""
+    kind = _KIND.take(codes)
+    for c in np.unique(codes[kind == _UNSEEN]).tolist():
+        _KIND[c] = next((k for k, p in ((_LETTER, r"\p{L}"), (_DIGIT, r"\p{N}"), (_SPACE, r"\s")) if regex.match(p, chr(c))), _OTHER)
+    return _KIND.take(codes) if (kind == _UNSEEN).any() else kind
+
+
+def cut_pieces(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """Where in the UTF-8 bytes of texts the pieces of PATTERN begin, with the
+    end behind. No piece goes over the edge of a text.
+
+    A piece is a run of one kind, to which a blank before it belongs. Of other
+    white space before a run, the last character is a piece of its own. An
+    apostrophe that is such a piece takes the letters of a contraction."""
+    wide = None
+    if len(data) and data.max() > 127:
+        lead = np.flatnonzero((data & 0xC0) != 0x80)
+        wide = np.append(lead, len(data))
+        codes = np.frombuffer(data.tobytes().decode().encode("utf-32-le"), np.uint32)
+        offsets = np.searchsorted(lead, offsets)
+    else:
+        codes = data
+    n = len(codes)
+    kind = _kinds(codes)
+    edge = np.zeros(n + 1, bool)
+    edge[offsets] = True
+    edge = edge[:-1]
+    # Runs of one kind within a text.
+    run = np.ones(n, bool)
+    np.not_equal(kind[1:], kind[:-1], out=run[1:])
+    run |= edge
+    start = run.copy()
+    # The last of white space before a run in the same text.
+    at = np.flatnonzero(run[1:] & ~edge[1:] & (kind[:-1] == _SPACE))
+    start[at] = True
+    blank = codes.take(at) == 32
+    start[at[blank] + 1] = False
+    # Contractions: an apostrophe alone, and letters after it.
+    at = np.flatnonzero(start[:-1] & (codes[:-1] == 39) & (kind[1:] == _LETTER) & ~edge[1:])
+    if len(at):
+        second = codes.take(at + 1)
+        third = np.where(at + 2 < n, codes.take(np.minimum(at + 2, n - 1)), 0)
+        third[edge.take(np.minimum(at + 2, n - 1))] = 0
+        for letters, size in _SHORT.items():
+            held = (second == letters[0]) & ((third == letters[-1]) if size == 2 else True)
+            some = at[held]
+            start[some + 1] = False
+            after = some + 1 + size
+            start[after[after < n]] = True
+    found = np.append(np.flatnonzero(start), n)
+    return found if wide is None else wide.take(found)
+
+
+def _strings(data: np.ndarray, edges: np.ndarray) -> pa.Array:
+    return pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(edges) - 1, [None, pa.py_buffer(np.ascontiguousarray(edges, np.int64)), pa.py_buffer(data)])
+
+
+def _content(found: pa.Array) -> tuple[np.ndarray, memoryview]:
+    """Offsets and bytes of a large binary array."""
+    offsets = np.frombuffer(found.buffers()[1], np.int64)[found.offset : found.offset + len(found) + 1]
+    return offsets, memoryview(found.buffers()[2] or b"")
+
+
 class _State:
     __slots__ = ("final", "out", "count", "key")
 
@@ -219,9 +286,9 @@ class Coder:
         joined, ends = bytes(parts[10]), list(token_ends)
         self.token = [joined[a:b] for a, b in zip(ends, ends[1:])]
         self.special = json.loads(bytes(parts[11]))
-        self.split_special = regex.compile("|".join(map(regex.escape, sorted(self.special, key=len, reverse=True)))) if self.special else None
-        self.pieces = regex.compile(PATTERN)
-        self.known: dict[str, bytes] = {}
+        self.split_special = regex.compile(b"|".join(map(regex.escape, sorted((s.encode() for s in self.special), key=len, reverse=True)))) if self.special else None
+        self.bytes = pa.array(self.token, pa.large_binary())
+        self.known: dict[bytes, bytes] = {}
 
     def lookup(self, word: bytes) -> list[int] | None:
         """Ids of a word of the automaton, by walking it."""
@@ -235,11 +302,10 @@ class Coder:
             at = self.goto[k]
         return self.ids[self.ends[index] : self.ends[index + 1]].tolist() if self.final[at] else None
 
-    def _learn(self, piece: str) -> bytes:
-        word = piece.encode()
-        ids = self.lookup(word)
+    def _learn(self, piece: bytes) -> bytes:
+        ids = self.lookup(piece)
         if ids is None:
-            ids = merge(word, self.byte_id, self.ranks)
+            ids = merge(piece, self.byte_id, self.ranks)
         coded = struct.pack(f"<{len(ids)}I", *ids)
         if len(self.known) >= REMEMBERED:
             self.known.clear()
@@ -247,36 +313,53 @@ class Coder:
             self.known[piece] = coded
         return coded
 
-    def _plain(self, text: str) -> Iterator[bytes]:
+    def _plain(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, memoryview]:
+        """Ids of texts without special tokens, and where each text's begin:
+        every different piece is looked up once."""
+        edges = cut_pieces(data, offsets)
+        if len(edges) < 2:
+            return np.zeros(len(offsets), np.int64), memoryview(b"")
+        pieces = _strings(data, edges).dictionary_encode()
         known, learn = self.known, self._learn
-        if len(text) < 1 << 20:
-            yield b"".join([known.get(p) or learn(p) for p in self.pieces.findall(text)])
-            return
-        for some in batched((m.group() for m in self.pieces.finditer(text)), _BATCH):
-            yield b"".join([known.get(p) or learn(p) for p in some])
+        coded = pa.array([known.get(p) or learn(p) for p in pieces.dictionary.to_pylist()], pa.large_binary())
+        ends, ids = _content(coded.take(pieces.indices))
+        return ends.take(np.searchsorted(edges, offsets)), ids
+
+    def encode_all(self, texts: pa.Array) -> Iterator[tuple[np.ndarray, memoryview]]:
+        """For runs of texts, their ids as little-endian unsigned 32-bit
+        integers, and at which byte those of each text begin."""
+        for _, data, offsets in chunks(texts, CUT):
+            if not (self.split_special and self.split_special.search(held := data.tobytes())):
+                yield self._plain(data, offsets)
+                continue
+            # Special tokens are parts of their own, and have one id each.
+            special = {m.start(): m for a, b in zip(offsets.tolist(), offsets[1:].tolist()) for m in self.split_special.finditer(held, a, b)}
+            parts = np.unique(np.concatenate([offsets, *(m.span() for m in special.values())]))
+            begin, ids = self._plain(data, parts)
+            runs = [struct.pack("<I", self.special[special[p][0].decode()]) if p in special else ids[a:b] for p, a, b in zip(parts.tolist(), begin.tolist(), begin[1:].tolist())]
+            begin = np.append(0, np.cumsum(list(map(len, runs)), dtype=np.int64))
+            yield begin[np.searchsorted(parts, offsets)], memoryview(b"".join(runs))
 
     def encode(self, text: str) -> Iterator[bytes]:
         """Runs of ids as little-endian unsigned 32-bit integers."""
-        at = 0
-        if self.split_special and any(s in text for s in self.special):
-            for m in self.split_special.finditer(text):
-                yield from self._plain(text[at : m.start()])
-                yield struct.pack("<I", self.special[m.group()])
-                at = m.end()
-        yield from self._plain(text[at:])
+        for _, ids in self.encode_all(pa.array([text], pa.large_string())):
+            yield bytes(ids)
 
     def decode_bytes(self, ids: bytes) -> bytes:
-        return b"".join(map(self.token.__getitem__, np.frombuffer(ids, "<u4").tolist()))
+        return bytes(_content(self.bytes.take(pa.array(np.frombuffer(ids, "<u4"))))[1])
+
+    def digests_all(self, texts: pa.Array) -> Iterator[tuple[int, str, str]]:
+        """Of each text the number of ids, hash of the ids, hash of what they
+        decode to."""
+        for begin, ids in self.encode_all(texts):
+            ends, decoded = _content(self.bytes.take(pa.array(np.frombuffer(ids, "<u4"))))
+            places, begin = ends.take(begin // 4).tolist(), begin.tolist()
+            for a, b, c, d in zip(begin, begin[1:], places, places[1:]):
+                back = bytes(decoded[c:d]).decode("utf-8", "replace").encode()
+                yield (b - a) // 4, hashlib.sha256(ids[a:b]).hexdigest(), hashlib.sha256(back).hexdigest()
 
     def digests(self, text: str) -> tuple[int, str, str]:
-        """Number of ids, hash of the ids, hash of what they decode to."""
-        n, ids_hash, runs = 0, hashlib.sha256(), []
-        for run in self.encode(text):
-            n += len(run) // 4
-            ids_hash.update(run)
-            runs.append(self.decode_bytes(run))
-        decoded = b"".join(runs).decode("utf-8", "replace")
-        return n, ids_hash.hexdigest(), hashlib.sha256(decoded.encode()).hexdigest()
+        return next(self.digests_all(pa.array([text], pa.large_string())))
 
 
 _CODERS: dict[str, Coder] = {}
@@ -293,19 +376,27 @@ def coder(name: str) -> Coder:
 
 @released
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    find, counts = regex.compile(PATTERN).findall, Counter()
+    held, many = [], 0
+
+    def merged() -> pa.Table:
+        return pa.concat_tables(held).group_by("piece", use_threads=False).aggregate([("n", "sum")]).rename_columns(["piece", "n"])
 
-    def out() -> pa.RecordBatch:
-        return pa.record_batch([pa.array(counts.keys(), pa.string()), pa.array(counts.values(), pa.int64())], ["piece", "n"])
+    def out(counts: pa.Table) -> Iterator[pa.RecordBatch]:
+        yield from counts.select(["piece", "n"]).cast(pa.schema([("piece", pa.string()), ("n", pa.int64())])).to_batches(max_chunksize=100_000)
 
     for batch in batches:
-        for text in batch.column(0).to_pylist():
-            counts.update(find(text) if len(text) < 1 << 20 else (m.group() for m in regex.finditer(PATTERN, text)))
-            if len(counts) > REMEMBERED:
-                yield out()
-                counts = Counter()
-    if counts:
-        yield out()
+        for _, data, offsets in chunks(batch.column(0), CUT):
+            found = _strings(data, cut_pieces(data, offsets)).value_counts()
+            held.append(pa.table({"piece": found.field(0).cast(pa.large_string()), "n": found.field(1)}))
+            many += len(found)
+        if many > REMEMBERED:
+            held = [merged()]
+            many = held[0].num_rows
+            if 2 * many > REMEMBERED:
+                yield from out(held[0])
+                held, many = [], 0
+    if held:
+        yield from out(merged())
 
 
 def frequent_pieces(docs: DataFrame, most: int = LEXICON) -> list[str]:
@@ -345,9 +436,9 @@ def encode_digests(docs: DataFrame, name: str) -> DataFrame:
 
     @released
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        digests = coder(name).digests
+        digests = coder(name).digests_all
         for batch in batches:
-            n, a, b = zip(*map(digests, batch.column(1).to_pylist())) if batch.num_rows else ((), (), ())
+            n, a, b = zip(*digests(batch.column(1))) if batch.num_rows else ((), (), ())
             yield pa.record_batch([batch.column(0), pa.array(n, pa.int64()), pa.array(a, pa.string()), pa.array(b, pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text")).mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
@@ -360,7 +451,7 @@ def encode(docs: DataFrame, name: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = coder(name)
         for batch in batches:
-            ids = [np.frombuffer(b"".join(c.encode(t)), "<u4").astype(np.int32) for t in batch.column(1).to_pylist()]
+            ids = [np.frombuffer(run[a:b], "<u4").astype(np.int32) for begin, run in c.encode_all(batch.column(1)) for a, b in zip(begin, begin[1:])]
             yield pa.record_batch([batch.column(0), pa.array(ids, pa.list_(pa.int32()))], ["doc_id", "ids"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text")).mapInArrow(run, "doc_id long, ids array<int>")
@@ -376,7 +467,7 @@ def encode_rows(docs: DataFrame, name: str) -> DataFrame:
         for batch in batches:
             for i in range(0, batch.num_rows, 512):
                 part = batch.slice(i, 512)
-                ids = [b"".join(c.encode(t)) for t in part.column(2).to_pylist()]
+                ids = [bytes(run[a:b]) for begin, run in c.encode_all(part.column(2)) for a, b in zip(begin, begin[1:])]
                 back = [hashlib.sha256(c.decode_bytes(x).decode("utf-8", "replace").encode()).hexdigest() for x in ids]
                 yield pa.record_batch([part.column(0), part.column(1), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(ids, pa.binary()), pa.array(back, pa.string())], ["doc_id", "source", "n_tokens", "ids", "decoded_sha256"])
 
