@@ -41,6 +41,8 @@ CUT = 1 << 20
 #: What the pattern tells apart: other characters, letters, digits, white space.
 _OTHER, _LETTER, _DIGIT, _SPACE, _UNSEEN = range(5)
 _KIND = np.full(0x110000, _UNSEEN, np.uint8)
+#: A lone blank between others than white space, before which a piece always begins.
+_SAFE = regex.compile(rb"(?:[!-~]|[\xc3-\xdf][\x80-\xbf]|[\xe4-\xef][\x80-\xbf]{2}) [!-~\xc3-\xdf\xe4-\xf4]")
 #: Letters of the contractions, after the apostrophe.
 _SHORT = {b"s": 1, b"t": 1, b"m": 1, b"d": 1, b"re": 2, b"ve": 2, b"ll": 2}
 
@@ -139,6 +141,13 @@ def cut_pieces(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     A piece is a run of one kind, to which a blank before it belongs. Of other
     white space before a run, the last character is a piece of its own. An
     apostrophe that is such a piece takes the letters of a contraction."""
+    if len(data) > 4 * CUT:
+        # A long text goes by parts, so that little is held at once.
+        held = memoryview(np.ascontiguousarray(data))
+        cuts = [0, *(m.start() + len(m[0]) - 2 for i in range(CUT, len(data) - CUT, CUT) if (m := _SAFE.search(held, i, i + CUT - 8))), len(data)]
+        parts = [cut_pieces(data[a:b], np.clip(offsets, a, b) - a)[:-1] + a for a, b in zip(cuts, cuts[1:]) if b - a <= 4 * CUT]
+        if len(parts) == len(cuts) - 1:
+            return np.append(np.concatenate(parts), len(data))
     wide = None
     if len(data) and data.max() > 127:
         lead = np.flatnonzero((data & 0xC0) != 0x80)

@@ -34,3 +34,17 @@ def test_bpe_pieces(tmp_path):
     coder.known.clear()
     list(coder.digests_all(pa.array(["zq" + " zq" * 1000 + " " + "x" * 150] * 3, pa.string())))
     assert sorted(seen) == [b" " + b"x" * 150, b" zq", b"zq"]
+
+
+def test_long_texts_go_by_parts(monkeypatch):
+    monkeypatch.setattr(bpe, "CUT", 64)
+    find, rng, sizes = regex.compile(bpe.PATTERN).findall, random.Random(7), []
+    kinds = bpe._kinds
+    monkeypatch.setattr(bpe, "_kinds", lambda codes: sizes.append(len(codes)) or kinds(codes))
+    for letters in ("strem' '  \nاé中\xa0 .1", "ab' '"):
+        for _ in range(60):
+            text = "".join(rng.choice(letters) for _ in range(1500)) + rng.choice(["", "x" * 300, " " * 300])
+            data = np.frombuffer(text.encode(), np.uint8)
+            edges = bpe.cut_pieces(data, np.array([0, len(data)]))
+            assert [data[a:b].tobytes().decode() for a, b in zip(edges, edges[1:])] == find(text)
+    assert np.median(sizes) < 3 * 64
